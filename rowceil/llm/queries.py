@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sstable
+from . import packing, simhash, sstable
 from .common import table
 
 
@@ -18,8 +18,16 @@ def op3_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.tokens_on_disk(table(spark, sf_dir, "documents")).drop("shard")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op3_sstable_tokens": op3_sstable_tokens}
+    return {
+        "op2_packing": op2_packing,
+        "op3_sstable_tokens": op3_sstable_tokens,
+        "op9_simhash": op9_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, sstable
+from . import linefreq, packing, simhash, sstable
 from .common import table
 
 
@@ -22,13 +22,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linefreq.judge(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
         "op3_sstable_tokens": op3_sstable_tokens,
         "op9_simhash": op9_simhash,
+        "op10_line_frequency": op10_line_frequency,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_frequency": linefreq.SQL}

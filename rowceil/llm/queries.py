@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linefreq, packing, simhash, sstable
+from . import linefreq, packing, rulefit, simhash, sstable, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op3_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.tokens_on_disk(table(spark, sf_dir, "documents")).drop("shard")
 
 
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rulefit.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -28,8 +36,10 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_packing": op2_packing,
         "op3_sstable_tokens": op3_sstable_tokens,
+        "op6_rule_ensemble": op6_rule_ensemble,
         "op9_simhash": op9_simhash,
         "op10_line_frequency": op10_line_frequency,
     }

@@ -113,7 +113,7 @@ def lattice_of(token: str, spaced: bool = False) -> list[list[tuple[str, float]]
         run = i and token[i - 1] == c
         long = run and (token[max(0, i - 2) : i] == c * 2 or token[i : i + 2] == c * 2)
         if c in LEET:
-            choices = [(x, 1.0) for x in LEET[c]] + [("", 0.5 if long else 4.0)]
+            choices = [(x, 1.0) for x in LEET[c]] + [("", 0.5 if long else 9.0)]
         else:
             choices = [(c, 0.0 if not long else 1.0)] + ([("", 0.0 if long else 6.0)] if run else [])
         if spaced and i:
@@ -134,7 +134,7 @@ class Restorer:
             return self.decode(bare) if _RUN.search(bare) and bare.isascii() else bare
         if _APART.fullmatch(bare):
             return self.decode(re.sub(r"[.\-_*]", "", bare), True)
-        if _CORE.fullmatch(bare) and 2 * sum(c.isalpha() for c in bare) >= len(bare):
+        if _CORE.fullmatch(bare) and 3 * sum(c.isalpha() for c in bare) >= len(bare):
             return self.decode(bare)
         return bare
 
@@ -150,6 +150,8 @@ class Restorer:
             else:
                 if len(run) >= 3:
                     found += self.decode("".join(run), True).split()
+                    if len(run) > 3 and run[0] in "ai":  # or a word of one letter before them
+                        found += self.decode("".join(run[1:]), True).split()
                 run = []
         return found
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linefreq, packing, rulefit, simhash, sstable, toxicity
+from . import hnsw, linefreq, packing, rulefit, simhash, sstable, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rulefit.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op3_sstable_tokens": op3_sstable_tokens,
         "op6_rule_ensemble": op6_rule_ensemble,
+        "op8_hnsw": op8_hnsw,
         "op9_simhash": op9_simhash,
         "op10_line_frequency": op10_line_frequency,
     }

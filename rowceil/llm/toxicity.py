@@ -117,7 +117,7 @@ def lattice_of(token: str, spaced: bool = False) -> list[list[tuple[str, float]]
         else:
             choices = [(c, 0.0 if not long else 1.0)] + ([("", 0.0 if long else 6.0)] if run else [])
         if spaced and i:
-            out.append([("", 0.0), (" ", 0.0)])
+            out.append([("", 0.0), (" ", 2.0)])
         out.append(choices)
     return out
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hnsw, linefreq, packing, rulefit, simhash, sstable, toxicity
+from . import hnsw, linededup, linefreq, mixing, packing, rulefit, simhash, sstable, toxicity
 from .common import table
 
 
@@ -22,10 +22,18 @@ def op3_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.tokens_on_disk(table(spark, sf_dir, "documents")).drop("shard")
 
 
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
 def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rulefit.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -43,7 +51,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_packing": op2_packing,
         "op3_sstable_tokens": op3_sstable_tokens,
+        "op4_temperature_mixing": op4_temperature_mixing,
         "op6_rule_ensemble": op6_rule_ensemble,
+        "op7_fuzzy_lines": op7_fuzzy_lines,
         "op8_hnsw": op8_hnsw,
         "op9_simhash": op9_simhash,
         "op10_line_frequency": op10_line_frequency,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hnsw, linededup, linefreq, mixing, packing, rulefit, simhash, sstable, toxicity
+from . import hnsw, licenses, linededup, linefreq, mixing, packing, rulefit, simhash, sstable, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.as_files(table(spark, sf_dir, "documents")))
+
+
 def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rulefit.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op3_sstable_tokens": op3_sstable_tokens,
         "op4_temperature_mixing": op4_temperature_mixing,
+        "op5_license_scan": op5_license_scan,
         "op6_rule_ensemble": op6_rule_ensemble,
         "op7_fuzzy_lines": op7_fuzzy_lines,
         "op8_hnsw": op8_hnsw,
@@ -61,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_frequency": linefreq.SQL}
+    return {"op5_license_scan": licenses.SQL, "op10_line_frequency": linefreq.SQL}

@@ -205,7 +205,7 @@ query("quantile_edges", "SELECT i::BIGINT AS i, (SELECT v FROM (SELECT l_extende
 query("degree_rle_by_value", "SELECT f AS value, d, count(*)::BIGINT AS n FROM (SELECT o_orderpriority f, o_custkey k, count(*)::BIGINT d FROM orders GROUP BY ALL) GROUP BY ALL")(
     lambda spark, d: statistics.bucket_runs(statistics.pair_counts(tables(spark, d)["orders"], ("o_custkey",), "o_orderpriority").where("column <> '*'").withColumn("bucket", F.col("f"))).select(F.col("bucket").alias("value"), "d", "n")
 )
-query("null_degree_rle", "SELECT isnull AS is_null, d, count(*)::BIGINT AS n FROM (SELECT o_orderkey IS NULL AS isnull, c_nationkey k, count(*)::BIGINT d FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL) GROUP BY ALL")(
+query("null_degree_rle", "SELECT no_order AS is_null, d, count(*)::BIGINT AS n FROM (SELECT o_orderkey IS NULL AS no_order, c_nationkey k, count(*)::BIGINT d FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL) GROUP BY ALL")(
     lambda spark, d: statistics.bucket_runs(
         statistics.pair_counts(tables(spark, d)["customer"].join(tables(spark, d)["orders"], F.col("c_custkey") == F.col("o_custkey"), "left"), ("c_nationkey",), "o_orderkey").where("column <> '*'").withColumn("bucket", F.col("f").isNull())
     ).select(F.col("bucket").alias("is_null"), "d", "n")

@@ -86,7 +86,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, host, text_hash and the array of normalised lines, empty for lines without a word, in their places."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     norm = F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " ")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _host(docs), F.xxhash64(text).alias("text_hash"), F.transform(F.split(norm, "\n"), F.trim).alias("l"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _host(docs), F.xxhash64(text).alias("text_hash"), F.transform(F.split(norm, "\n"), lambda x: F.trim(x)).alias("l"))
 
 
 def frequent_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008

@@ -125,13 +125,20 @@ def self_join_size(df: DataFrame, column: str) -> DataFrame:
 def star_bound(columns: Sequence[tuple[DataFrame, str]]) -> DataFrame:
     """dsb: the degree sequence bound of a join of all tables on one column each.
 
-    Rank ranges of equal degree are cut at the ends of each other's, so that the work is in the runs, not the keys.
+    Runs of equal degree end at some ranks; between two ends of any table every table has one degree. The windows run
+    over these ends, of which there are no more than runs, in linear work.
     """
-    left = ranked_degrees(*columns[0]).select("first", "last", F.col("d").cast("decimal(38,0)").alias("w"))
-    for df, column in columns[1:]:
-        r = ranked_degrees(df, column).select(F.col("first").alias("f"), F.col("last").alias("l"), "d")
-        left = left.join(r, (F.col("first") <= F.col("l")) & (F.col("f") <= F.col("last"))).select(F.greatest("first", "f").alias("first"), F.least("last", "l").alias("last"), (F.col("w") * F.col("d")).cast("decimal(38,0)").alias("w"))
-    return left.agg(F.coalesce(F.sum(F.col("w") * (F.col("last") - F.col("first") + 1)), F.lit(0)).cast("long").alias("dsb"))
+    every = None
+    for i, (df, column) in enumerate(columns):
+        ends = ranked_degrees(df, column).select("last", *((F.col("d") if j == i else F.lit(None).cast("long")).alias(f"d{j}") for j in range(len(columns))))
+        every = ends if every is None else every.union(ends)
+    ends = every.groupBy("last").agg(*(F.max(f"d{j}").alias(f"d{j}") for j in range(len(columns))))
+    w = Window.orderBy("last")
+    here = [F.first(f"d{j}", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)) for j in range(len(columns))]
+    weight = (F.col("last") - F.coalesce(F.lag("last").over(w), F.lit(0))).cast("decimal(38,0)")
+    for x in here:
+        weight = (weight * x).cast("decimal(38,0)")
+    return ends.select(weight.alias("rows")).agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("dsb"))
 
 
 # --- joins that statistics and training data need

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.step import compress
 from .functions.text import epoch_offset, grams
 from .model import STAR, ForeignKey, Schema, TableSpec
-from .operators import aggregates, bayes, estimators, exact, statistics
+from .operators import aggregates, bayes, estimators, exact, prepare, statistics
 from .operators.spn import SumProductNetwork
 from .plans import bound, planner
 from .plans.parser import parse_aggregate, parse_one
@@ -370,6 +370,15 @@ def spn_estimates(spark: SparkSession, d: str) -> DataFrame:
     return _frame(spark, rows, "flag string, count double, true_count double, sum double, true_sum double, average double, true_average double, deviation double")
 
 
+query("dependency", "SELECT DISTINCT n_nationkey, n_regionkey FROM nation WHERE n_nationkey IS NOT NULL")(lambda spark, d: prepare.dependency(tables(spark, d)["nation"], "n_nationkey", "n_regionkey"))
+query("categorical_codes", "SELECT p_type AS value, (row_number() OVER (ORDER BY n DESC, p_type) - 1)::BIGINT AS code FROM (SELECT p_type, count(*) AS n FROM part GROUP BY p_type)")(
+    lambda spark, d: prepare.categorical_codes(tables(spark, d)["part"], "p_type")
+)
+query(
+    "chi_square",
+    "WITH b AS (SELECT o_orderstatus a, o_orderpriority b, count(*)::DOUBLE n FROM orders GROUP BY ALL), x AS (SELECT a, sum(n) n FROM b GROUP BY a), y AS (SELECT b, sum(n) n FROM b GROUP BY b), t AS (SELECT sum(n) n FROM b) SELECT round((SELECT n FROM t) * (sum(b.n * b.n / (x.n * y.n)) - 1), 6) AS chi2, ((SELECT count(*) FROM x) - 1) * ((SELECT count(*) FROM y) - 1) AS degrees FROM b JOIN x ON b.a = x.a JOIN y ON b.b = y.b",
+)(lambda spark, d: prepare.chi_square(tables(spark, d)["orders"], "o_orderstatus", "o_orderpriority").withColumn("chi2", F.round("chi2", 6)))
+
 # --- aggregate queries
 
 AGGREGATES = {

@@ -87,23 +87,31 @@ def _symbol(c: str) -> int:
 
 
 def viterbi(lattice: list[list[tuple[str, float]]], costs) -> str:
-    """lattice: for each place the choices (what it emits, at most one character; what that costs in the channel)."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """lattice: for each place the choices (what it emits, at most one character; what that costs in the channel).
+
+    One pass in time linear in the places: a state points back to the one it came from, and text is made at the end.
+    """
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for choices in lattice:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, said) in states.items():
             for c, price in choices:
                 if c:
                     s = _symbol(c)
                     if s == 0 and b == 0:
                         continue
-                    key, now, out = (b, s), cost + price + costs[a][b][s], said + c
+                    key, now, out = (b, s), cost + price + costs[a][b][s], (said, c)
                 else:
                     key, now, out = (a, b), cost + price, said
                 if key not in after or now < after[key][0]:
                     after[key] = (now, out)
         states = after
-    return min((cost + costs[a][b][0], said) for (a, b), (cost, said) in states.items())[1]
+    last = min(((cost + costs[a][b][0], said) for (a, b), (cost, said) in states.items()), key=lambda x: x[0])[1]
+    text = []
+    while last is not None:
+        last, c = last
+        text.append(c)
+    return "".join(reversed(text))
 
 
 def lattice_of(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
@@ -139,7 +147,7 @@ class Restorer:
         return bare
 
     def decode(self, token: str, spaced: bool = False) -> str:
-        return viterbi(lattice_of(token, spaced), self.costs) if len(token) <= 64 else token
+        return viterbi(lattice_of(token, spaced), self.costs)
 
     def spaced(self, tokens: list[str]) -> list[str]:
         """The words that runs of three or more single characters stand for."""

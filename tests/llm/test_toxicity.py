@@ -28,6 +28,15 @@ def test_spaced_words_are_restored(costs):
     assert toxicity.Restorer(costs).spaced("a b".split()) == []
 
 
+def test_long_tokens_are_restored(costs):
+    restorer = toxicity.Restorer(costs)
+    assert restorer.word("idi" + "o" * 5000 + "t") == "idiot"
+    spelled = [*("stupididiotloser" * 6)]
+    assert len(spelled) > 64 and set(restorer.spaced(spelled)) >= {"stupid", "idiot", "loser"}
+    whole = restorer.decode("".join(spelled) * 200, True)
+    assert whole.replace(" ", "") == "".join(spelled) * 200 and whole.split().count("idiot") > 1000
+
+
 def test_viterbi_is_the_cheapest_path(costs):
     import itertools
 

@@ -77,8 +77,9 @@ def trigram_costs(counts: np.ndarray) -> np.ndarray:
     return -np.log(three / three.sum(2, keepdims=True))
 
 
+_ENDS = ".,;:?\"'()[]{}#%&*-_<>=~^/\\`«»“”…"
 _CORE = re.compile(r"[a-z0134578@$!|+]{3,}")
-_RUN = re.compile(r"([a-z])\1\1")
+_RUN = re.compile(r"([a-z])\1")
 _APART = re.compile(r"(?:[a-z0134578@$!|+][.\-_*]){2,}[a-z0134578@$!|+]")
 
 
@@ -137,15 +138,21 @@ class Restorer:
         self.costs = costs.tolist()
 
     def word(self, token: str) -> str:
-        bare = token.strip(".,;:?\"'()[]{}#%&*-_<>=~^/\\`«»“”…").rstrip("!|")
+        bare = token.strip(_ENDS).rstrip("!|")
         if bare.isalpha():
-            return self.decode(bare) if _RUN.search(bare) and bare.isascii() else bare
+            return self.decode(bare) if _RUN.search(bare) else bare
         if _APART.fullmatch(bare):
             return self.decode(re.sub(r"[.\-_*]", "", bare), True)
-        if _CORE.fullmatch(bare) and 3 * sum(c.isalpha() for c in bare) >= len(bare):
+        if _CORE.fullmatch(bare) and not bare.isdigit():
             return self.decode(bare)
         return bare
 
+    def readings(self, token: str) -> str:
+        """The words that a token may stand for: those restored, and it as it is, so that 'committee' or '$100' stays a word."""
+        bare = token.strip(_ENDS).rstrip("!|")
+        found = self.word(token)
+        return found if found == bare else f"{found} {bare}"
+
     def decode(self, token: str, spaced: bool = False) -> str:
         return viterbi(lattice_of(token, spaced), self.costs)
 
@@ -198,7 +205,7 @@ class ToxicModel:
         def weigh(restored: str) -> float:
             return max((odds.get(w) or 0.8 * max(odds.get("5:" + w[:5], 0.0), odds.get("4:" + w[:4], 0.0)) for w in restored.split()), default=0.0)
 
-        kept = _Kept(lambda token: weigh(restorer.word(token)))
+        kept = _Kept(lambda token: weigh(restorer.readings(token)))
 
         def features(text: str | None) -> list[float]:
             distinct, ordered = words(text)
@@ -242,7 +249,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int =
 
     def seen(batches):
         restorer = Restorer(costs)
-        kept = _Kept(restorer.word)
+        kept = _Kept(restorer.readings)
         for b in batches:
             names, labels = [], []
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):

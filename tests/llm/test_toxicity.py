@@ -28,6 +28,16 @@ def test_spaced_words_are_restored(costs):
     assert toxicity.Restorer(costs).spaced("a b".split()) == []
 
 
+@pytest.mark.parametrize("token, word", [("stuupid", "stupid"), ("iddiioott", "idiot"), ("1d!07", "idiot"), ("!d!07", "idiot")])
+def test_doubled_letters_and_mere_signs_are_restored(costs, token, word):
+    assert toxicity.Restorer(costs).word(token) == word
+
+
+@pytest.mark.parametrize("token", ["committee", "bookkeeper", "$100", "hello", "1000", "word"])
+def test_plain_readings_stay(costs, token):
+    assert token in toxicity.Restorer(costs).readings(token).split()
+
+
 def test_long_tokens_are_restored(costs):
     restorer = toxicity.Restorer(costs)
     assert restorer.word("idi" + "o" * 5000 + "t") == "idiot"

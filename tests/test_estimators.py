@@ -174,3 +174,14 @@ def test_readers(spark, tmp_path):
     tables.write_results(spark.range(3).toDF("n"), str(tmp_path / "out"))
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 3
     assert synthetic.zipf_keys(spark, 2000, 10, 1.2).groupBy("key").count().orderBy(F.desc("count")).first()["key"] == 1
+
+
+def test_network_counts_all_rows_of_few_combinations(spark):
+    rows = spark.range(60_000).selectExpr("cast(id % 7 as int) AS a", "cast((id div 7) % 5 as int) AS b", "substr('NNNNNNAR', cast(id % 8 as int) + 1, 1) AS flag")
+    net = SumProductNetwork.fit(rows, rows.columns)  # more rows than a fit takes, 105 combinations
+    assert net.groups("flag") == ["A", "N", "R"] and net.rows == 60_000
+    for sql in ("flag = 'R'", "flag = 'A' AND t.a < 3", "b = 2"):
+        true = rows.where(sql.replace("t.", "")).count()
+        assert net.count(parse_one(f"SELECT * FROM t WHERE t.{sql}").predicates) == pytest.approx(true, rel=0.01)
+    many = SumProductNetwork.fit(rows, rows.columns, sample=40)  # a priority sample of the combinations
+    assert many.rows == 60_000 and many.count(parse_one("SELECT * FROM t WHERE t.flag = 'N'").predicates) == pytest.approx(45_000, rel=0.2)

@@ -1,8 +1,9 @@
 """Embedding near-duplicates with a hierarchical navigable small-world graph for each shard.
 
 Exact copies of a vector are one class. Classes are dealt by hash into shards of about SHARD vectors; a task builds a
-shard's graph, audits its recall on a sample against brute force, widens the beam until the audit passes, and writes
-the graph to the shared folder. Every class then queries every shard of its length. A query whose beam is full of
+shard's graph, audits its recall against brute force on points that have links, widens the beam until the audit
+passes, and writes the graph to the shared folder. Every class then queries every shard of its length; a shard whose
+audit fails even at full width, as its graph is disconnected, is compared tile by tile. A query whose beam is full of
 links widens its beam until one is no link, so no number of partners is a limit. What is found is verified by cosine
 in double precision, pairs become components, and copies follow their class.
 
@@ -27,6 +28,8 @@ from .sstable import open_folder
 SHARD = 65_536
 LINKS, BUILD_BEAM, FIRST_BEAM = 16, 48, 32
 AUDITED, RECALL = 256, 0.995
+#: Queries compared with a whole shard at once.
+TILE = 256
 #: Slack for single precision; double precision decides afterwards.
 SLACK = 1e-3
 
@@ -181,17 +184,44 @@ class Graph:
             todo, beam = todo[full], beam * 2
         return np.concatenate([g[0] for g in got] or [np.zeros(0, np.int64)]), np.concatenate([g[1] for g in got] or [np.zeros(0, np.int64)])
 
+    def tiles(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """As `within`, by comparing all queries with all points."""
+        got = [np.nonzero(q[i : i + TILE] @ self.vecs.T >= least) for i in range(0, len(q), TILE)]
+        rows = [r + i * TILE for i, (r, _) in enumerate(got)]
+        return np.concatenate(rows or [np.zeros(0, np.int64)]), self.order[np.concatenate([c for _, c in got] or [np.zeros(0, np.int64)])]
+
     def audit(self, least: float) -> tuple[int, float]:
-        """The beam with which recall on a sample passes, and that recall. A beam as wide as the shard finds all that is connected."""
-        rng = np.random.default_rng(3)
-        some = rng.permutation(len(self.vecs))[:AUDITED]
-        rows = {int(i): set(self.order[np.flatnonzero(self.vecs @ self.vecs[i] >= least)].tolist()) for i in some}
-        beam, total = FIRST_BEAM, sum(map(len, rows.values()))
+        """The beam with which recall passes, and that recall; beam 0 if none does, not even one as wide as the shard.
+
+        Points are compared with the whole shard until AUDITED of them have links other than to themselves, or all have
+        been; recall is the lesser of that over links and the mean over these points. Without links it is 1.
+        """
+        n, linked = len(self.vecs), 0
+        some = np.random.default_rng(3).permutation(n)
+        asked, true = [], []
+        for i in range(0, n, TILE):
+            part = some[i : i + TILE]
+            near = self.vecs[part] @ self.vecs.T >= least
+            near[np.arange(len(part)), part] = False
+            r, c = np.nonzero(near)
+            has, at = np.unique(r, return_inverse=True)
+            asked.append(part[has])
+            true.append((at + linked) * n + self.order[c])
+            linked += len(has)
+            if linked >= AUDITED:
+                break
+        if not linked:
+            return FIRST_BEAM, 1.0
+        asked, true = np.concatenate(asked), np.concatenate(true)
+        each, beam = np.bincount(true // n, minlength=linked), FIRST_BEAM
         while True:
-            a, b = self.within(self.vecs[some], least, beam)
-            found = sum(int(y) in rows[int(some[x])] for x, y in zip(a.tolist(), b.tolist(), strict=True))
-            if found >= RECALL * total or beam >= len(self.vecs):
-                return beam, found / max(1, total)
+            a, b = self.within(self.vecs[asked], least, beam)
+            found = true[np.isin(true, a * n + b)]
+            recall = min(len(found) / len(true), float((np.bincount(found // n, minlength=linked) / each).mean()))
+            if recall >= RECALL:
+                return beam, recall
+            if beam >= n:
+                return 0, recall
             beam *= 2
 
 
@@ -273,7 +303,7 @@ def found_pairs(reps: DataFrame, least: float) -> tuple[DataFrame, list[dict]]:
                         held.clear()
                         held[s["name"]] = load(s["name"])
                     other, other_raw, g = held[s["name"]]
-                    x, y = g.within(q, least - SLACK, s["beam"])
+                    x, y = g.within(q, least - SLACK, s["beam"]) if s["beam"] else g.tiles(q, least - SLACK)
                     ok = node[x] != other[y]
                     x, y = x[ok], y[ok]
                     ok = cosine(raw[x], other_raw[y]) >= least if len(x) else np.zeros(0, bool)

@@ -59,6 +59,36 @@ def test_recall_of_one_graph():
     assert len(found & true) >= 0.99 * len(true) and found <= true | {(i, i) for i in range(len(v))}
 
 
+def test_audit_measures_rare_links():
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(3000, 32))
+    v = hnsw.unit(np.concatenate([base, base[:4] + 0.05 * rng.normal(size=(4, 32))]))
+    g = hnsw.Graph.build(v)
+    assert g.audit(0.9)[1] == 1.0
+    for x in g.levels:  # no way leads anywhere: all links are lost, whatever the beam
+        x[:] = -1
+    assert g.audit(0.9) == (0, 0.0)
+    assert hnsw.Graph.build(hnsw.unit(base)).audit(0.9) == (hnsw.FIRST_BEAM, 1.0)
+
+
+def test_disconnected_shards_are_compared_whole(spark, vectors, monkeypatch):
+    build = hnsw.Graph.build
+
+    def cut(vecs, seed=11):
+        g = build(vecs, seed)
+        for x in g.levels:
+            x[:] = -1
+        return g
+
+    monkeypatch.setattr(hnsw.Graph, "build", cut)
+    g = hnsw.Graph.build(hnsw.unit(np.array([v for _, v in vectors])))
+    q = hnsw.unit(np.array([v for _, v in vectors]))
+    beam, recall = g.audit(0.9)
+    a, b = g.tiles(q, 0.9)
+    assert beam == 0 and recall < hnsw.RECALL
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(map(tuple, np.argwhere(q @ q.T >= 0.9).tolist()))
+
+
 def test_a_dense_group_is_found_whole():
     rng = np.random.default_rng(2)
     v = hnsw.unit(np.concatenate([np.ones((900, 8)) + 0.02 * rng.normal(size=(900, 8)), rng.normal(size=(500, 8))]))

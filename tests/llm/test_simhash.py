@@ -70,10 +70,29 @@ def test_tiles_of_several_parts_find_the_same(spark, monkeypatch):
     prints = sorted((i, fp) for i, fp in enumerate(sorted(fps)))
     df = spark.createDataFrame([(i, fp - 2**64 if fp >= 2**63 else fp) for i, fp in prints], "node long, fp long")
     want = plain_groups(prints)
+    names = {fp - 2**64 if fp >= 2**63 else fp: i for i, fp in prints}
     for tile in (8192, 2):
         monkeypatch.setattr(simhash, "TILE", tile)
-        found = {r.node: r.component for r in components(simhash.links(df, 2)).collect()}
-        assert [found.get(i, i) for i, _ in prints] == want
+        found = {names[r.node]: r.component for r in components(simhash.links(df.select("fp"), 2)).collect()}
+        least = {}
+        for i, c in found.items():
+            least[c] = min(i, least.get(c, i))
+        assert [least[found[i]] if i in found else i for i, _ in prints] == want
+
+
+def test_clean_keeps_one_row_of_each_group_and_no_text_is_lost(make_docs):
+    from pyspark.sql import functions as F
+
+    a, b = "one text of several words that stands alone", "quite another text that others nearly copy, word for word"
+    docs = make_docs([(1, a, "s"), (7, a, "s"), (7, b, "s"), (9, b, "t"), (9, b, "s"), (None, "a text without an id", "s"), (None, "a text without an id", "s"), (None, "one more text without an id", "s")])
+    for c in ("_d", "fp", "key_id", "row", "group"):
+        docs = docs.withColumn(c, F.lit("x"))
+    out = simhash.clean(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert sorted(((r.doc_id, r.text) for r in rows), key=repr) == sorted([(1, a), (7, b), (None, "a text without an id"), (None, "one more text without an id")], key=repr)
+    assert all(r.fp == r.group == r._d == "x" for r in rows)
+    assert simhash.clean(make_docs([])).count() == 0
 
 
 def test_components(spark):

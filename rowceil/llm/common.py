@@ -48,19 +48,23 @@ def release(spark: SparkSession) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+#: Lets Spark delete the shuffle files of a query as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends in files that outlive any executor."""
+    """Writes df to the shared folder and reads it back: the lineage ends in files that outlive any executor, so the shuffles behind them can go at once."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark see which shuffles nobody needs any more, so that it deletes their files now; for use after large ones."""
-    spark._jvm.System.gc()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)

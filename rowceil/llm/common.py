@@ -40,10 +40,17 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what this application has stored in the shared folder; frames that read it can't be used afterwards."""
+def made_paths(spark: SparkSession) -> list[str]:
+    """What this application has stored in the shared folder and not released, oldest first."""
+    return list(_made.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes what this application has stored in the shared folder (or those of its paths); frames that read it can't be used afterwards."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _made.pop(spark.sparkContext.applicationId, []):
+    held = _made.get(spark.sparkContext.applicationId, [])
+    for path in [x for x in held if paths is None or x in paths]:
+        held.remove(path)
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
 
@@ -59,12 +66,24 @@ def stored(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", compression).parquet(path)
+        df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", "1").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table that are sent to all tasks; of a larger one, each goes to SALTS parts of its key.
+BROADCAST_ROWS, SALTS = 100_000, 16
+
+
+def looked_up(rows: DataFrame, narrow: DataFrame, on: list[str], salt, how: str = "inner") -> DataFrame:
+    """rows joined with a narrow table that has each key once, where a key may have very many of the rows. salt: a long that differs among them."""
+    if narrow.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(narrow), on, how)
+    every = narrow.select("*", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt_"))
+    return rows.withColumn("salt_", F.pmod(salt, F.lit(SALTS)).cast("int")).join(every, [*on, "salt_"], how).drop("salt_")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -1,27 +1,30 @@
 """Toxicity through a noisy channel: disguised words are decoded under a character model before they are scored.
 
-A token that looks disguised (digits or signs for letters, letters repeated, letters spaced or dotted apart) is a
-lattice: at each place the character itself, the letters it may stand for, or nothing where it repeats. Viterbi finds
-the cheapest path under a trigram model of characters, whose counts come from every text of the corpus. Words of the
-restored text are then weighed by log-odds learnt from labelled documents, and a logistic model over the heaviest
-words of a document gives its score.
+A token that looks disguised (digits or signs for letters, letters repeated, letters spaced or marked apart) is a
+lattice: at each place the character itself, the letters it may stand for, or nothing where it repeats; a mark within a
+word, or a blank between two, may be a blank or nothing. Viterbi finds the cheapest path under a trigram model of
+characters, whose counts come from every text of the corpus. Words of the restored text are then weighed by log-odds
+learnt from labelled documents, and a logistic model over the heaviest words of a document gives its score. A token
+stands for its cheapest reading, for the cheapest in letters alone, and for itself.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .rulefit import in_fold, label_sample
 
 #: The most labelled documents that a fit takes (those of least hash).
 SAMPLE = 40_000
-#: The most word and prefix weights kept, those seen most in toxic documents.
+#: The most word and prefix weights kept unless a fit is told otherwise, those seen most in toxic documents.
 WEIGHTS = 50_000
 LEAST_SEEN, LEAST_ODDS = 3, 1.5
 #: Words remembered by each worker; when full it starts anew.
@@ -78,19 +81,23 @@ def trigram_costs(counts: np.ndarray) -> np.ndarray:
 
 
 _ENDS = ".,;:?\"'()[]{}#%&*-_<>=~^/\\`«»“”…"
-_CORE = re.compile(r"[a-z0134578@$!|+]{3,}")
+_WITHIN = re.compile(r"(?=.{3})[a-z0134578@$!|+]+(?:[.\-_*'~]+[a-z0134578@$!|+]+)*")
 _RUN = re.compile(r"([a-z])\1")
 _APART = re.compile(r"(?:[a-z0134578@$!|+][.\-_*]){2,}[a-z0134578@$!|+]")
+_SIGNS = re.compile(r"[@$!|+]")
+_NUMBER = re.compile(r"[\d.\-_*'~+]+")
 
 
 def _symbol(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
+    return ord(c) - 96 if "a" <= c <= "z" else 0 if ord(c) < 128 else 27
 
 
 def viterbi(lattice: list[list[tuple[str, float]]], costs) -> str:
     """lattice: for each place the choices (what it emits, at most one character; what that costs in the channel).
 
-    One pass in time linear in the places: a state points back to the one it came from, and text is made at the end.
+    Digits and signs bound words, as in the counts; behind a boundary they cost the model nothing more, and blanks are
+    not emitted there. One pass in time linear in the places: a state points back to the one it came from, and text is
+    made at the end.
     """
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for choices in lattice:
@@ -100,14 +107,17 @@ def viterbi(lattice: list[list[tuple[str, float]]], costs) -> str:
                 if c:
                     s = _symbol(c)
                     if s == 0 and b == 0:
-                        continue
-                    key, now, out = (b, s), cost + price + costs[a][b][s], (said, c)
+                        if c == " ":
+                            continue
+                        key, now, out = (a, b), cost + price, (said, c)
+                    else:
+                        key, now, out = (b, s), cost + price + costs[a][b][s], (said, c)
                 else:
                     key, now, out = (a, b), cost + price, said
                 if key not in after or now < after[key][0]:
                     after[key] = (now, out)
         states = after
-    last = min(((cost + costs[a][b][0], said) for (a, b), (cost, said) in states.items()), key=lambda x: x[0])[1]
+    last = min(((cost + (costs[a][b][0] if b else 0.0), said) for (a, b), (cost, said) in states.items()), key=lambda x: x[0])[1]
     text = []
     while last is not None:
         last, c = last
@@ -115,18 +125,26 @@ def viterbi(lattice: list[list[tuple[str, float]]], costs) -> str:
     return "".join(reversed(text))
 
 
-def lattice_of(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
-    """The choices for each character of a lower-case token; with `spaced`, a word may end between any two."""
+#: Prices: a sign for a letter, a sign for itself, a blank or mark left out, a blank put between single characters.
+STANDS, STAYS, JOINED, PARTED = 1.0, 4.0, 2.0, 2.0
+_MARKS = ".-_*'~"
+
+
+def lattice_of(token: str, spaced: bool = False, plain: bool = True) -> list[list[tuple[str, float]]]:
+    """The choices for each character of a lower-case token, blanks and marks within it included; with `spaced`, a word
+    may end between any two; without `plain`, signs don't stand for themselves."""
     out: list[list[tuple[str, float]]] = []
     for i, c in enumerate(token):
         run = i and token[i - 1] == c
         long = run and (token[max(0, i - 2) : i] == c * 2 or token[i : i + 2] == c * 2)
         if c in LEET:
-            choices = [(x, 1.0) for x in LEET[c]] + [("", 0.5 if long else 9.0)]
+            choices = [(x, STANDS) for x in LEET[c]] + ([(c, STAYS)] if plain else []) + [("", 0.5 if long else 9.0)]
+        elif c == " " or c in _MARKS:
+            choices = [(" ", 0.0), ("", 0.0 if run else JOINED)]
         else:
             choices = [(c, 0.0 if not long else 1.0)] + ([("", 0.0 if long else 6.0)] if run else [])
         if spaced and i:
-            out.append([("", 0.0), (" ", 2.0)])
+            out.append([("", 0.0), (" ", PARTED)])
         out.append(choices)
     return out
 
@@ -137,24 +155,27 @@ class Restorer:
     def __init__(self, costs: np.ndarray) -> None:
         self.costs = costs.tolist()
 
-    def word(self, token: str) -> str:
+    def word(self, token: str, plain: bool = True) -> str:
         bare = token.strip(_ENDS).rstrip("!|")
         if bare.isalpha():
             return self.decode(bare) if _RUN.search(bare) else bare
         if _APART.fullmatch(bare):
-            return self.decode(re.sub(r"[.\-_*]", "", bare), True)
-        if _CORE.fullmatch(bare) and not bare.isdigit():
-            return self.decode(bare)
+            return self.decode(re.sub(r"[.\-_*]", "", bare), True, False)
+        if _WITHIN.fullmatch(bare) and not _NUMBER.fullmatch(bare):
+            return self.decode(bare, False, plain and not _SIGNS.search(bare))  # who writes ! for i writes 0 for o
         return bare
 
     def readings(self, token: str) -> str:
-        """The words that a token may stand for: those restored, and it as it is, so that 'committee' or '$100' stays a word."""
+        """The words that a token may stand for: those restored, with signs and in letters alone, and it as it is, so that 'committee' or '$100' stays a word."""
         bare = token.strip(_ENDS).rstrip("!|")
-        found = self.word(token)
-        return found if found == bare else f"{found} {bare}"
+        return " ".join(dict.fromkeys((self.word(token), self.word(token, False), bare)))
+
+    def joined(self, *parts: str) -> bool:
+        """Whether parts of a text, with blanks between them, are one word by the model."""
+        return " " not in self.decode(" ".join(parts))
 
-    def decode(self, token: str, spaced: bool = False) -> str:
-        return viterbi(lattice_of(token, spaced), self.costs)
+    def decode(self, token: str, spaced: bool = False, plain: bool = True) -> str:
+        return viterbi(lattice_of(token, spaced, plain), self.costs)
 
     def spaced(self, tokens: list[str]) -> list[str]:
         """The words that runs of three or more single characters stand for."""
@@ -164,17 +185,17 @@ class Restorer:
                 run.append(x)
             else:
                 if len(run) >= 3:
-                    found += self.decode("".join(run), True).split()
+                    found += self.decode("".join(run), True, False).split()
                     if len(run) > 3 and run[0] in "ai":  # or a word of one letter before them
-                        found += self.decode("".join(run[1:]), True).split()
+                        found += self.decode("".join(run[1:]), True, False).split()
                 run = []
         return found
 
 
-def words(text: str | None) -> tuple[set[str], list[str]]:
-    """The distinct tokens of a text in lower case, and all in order if three or more are single characters."""
+def words(text: str | None) -> tuple[set[str], list[str], list[str]]:
+    """The distinct tokens of a text in lower case, all in order, and again if three or more are single characters."""
     tokens = (text or "").lower().split()
-    return set(tokens), tokens if sum(len(x) == 1 for x in tokens) >= 3 else []
+    return set(tokens), tokens, tokens if sum(len(x) == 1 for x in tokens) >= 3 else []
 
 
 class _Kept(dict):
@@ -206,10 +227,14 @@ class ToxicModel:
             return max((odds.get(w) or 0.8 * max(odds.get("5:" + w[:5], 0.0), odds.get("4:" + w[:4], 0.0)) for w in restored.split()), default=0.0)
 
         kept = _Kept(lambda token: weigh(restorer.readings(token)))
+        whole = {w for w in odds if ":" not in w}
+        parted = _Kept(lambda pair: restorer.joined(*pair))
 
         def features(text: str | None) -> list[float]:
-            distinct, ordered = words(text)
+            distinct, tokens, ordered = words(text)
             found = [x for x in map(kept.__getitem__, distinct) if x]
+            if not whole.isdisjoint(map(add, tokens, tokens[1:])):  # two tokens that may be one word, parted by a blank
+                found += [odds[x + y] for x, y in set(zip(tokens, tokens[1:], strict=False)) if x + y in whole and parted[x, y]]
             if ordered:
                 found += [x for x in map(weigh, restorer.spaced(ordered)) if x]
             found.sort(reverse=True)
@@ -240,11 +265,12 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, rows: int = SAMPLE) -> ToxicModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, rows: int = SAMPLE, weights: int | None = WEIGHTS) -> ToxicModel:
+    """rows: the most labelled documents taken; weights: the most words and prefixes that get a weight, None for all of theirs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = ToxicModel(trigram_costs(trigram_counts(docs)))
     sample = label_sample(labels, "toxic", in_fold(F.col("doc_id"), folds, fold), rows)
-    chosen = docs.join(F.broadcast(sample.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)))), "doc_id")
+    chosen = stored(docs.join(F.broadcast(sample.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)))), "doc_id"), "labelled")
     costs = model.costs
 
     def seen(batches):
@@ -253,7 +279,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int =
         for b in batches:
             names, labels = [], []
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-                distinct, ordered = words(text)
+                distinct, _, ordered = words(text)
                 own = {w for x in distinct for w in kept[x].split()}.union(restorer.spaced(ordered) if ordered else ())
                 own = own | {"5:" + w[:5] for w in own if len(w) > 5} | {"4:" + w[:4] for w in own if len(w) > 4}
                 names += own
@@ -265,7 +291,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int =
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     odds = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("n") + 0.5) / (good + 1))
     table = made.groupBy("name").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("n")).where(F.col("t") >= LEAST_SEEN).withColumn("odds", odds)
-    table = table.where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("t"), "name").limit(WEIGHTS)
+    table = table.where(F.col("odds") >= LEAST_ODDS)
+    if weights is not None:
+        table = table.orderBy(F.desc("t"), "name").limit(weights)
     model.odds = {r["name"]: float(r["odds"]) for r in table.collect()}
     half = model
 

@@ -1,11 +1,13 @@
 """Embedding near-duplicates with a hierarchical navigable small-world graph for each shard.
 
-Exact copies of a vector are one class. Classes are dealt by hash into shards of about SHARD vectors; a task builds a
-shard's graph, audits its recall against brute force on points that have links, widens the beam until the audit
-passes, and writes the graph to the shared folder. Every class then queries every shard of its length; a shard whose
-audit fails even at full width, as its graph is disconnected, is compared tile by tile. A query whose beam is full of
-links widens its beam until one is no link, so no number of partners is a limit. What is found is verified by cosine
-in double precision, pairs become components, and copies follow their class.
+Exact copies of a vector are one class. Classes are dealt by hash into shards of at most SHARD vectors and about
+SHARD_BYTES; a task builds a shard's graph, audits its recall against brute force on points that have links (its own
+and some of all shards), widens the beam until the audit passes, and writes the graph to the shared folder. Every
+class then queries every shard of its length, in blocks that load each graph once. What is found is verified by cosine
+in double precision. A query whose beam is full of links is compared with the whole shard, so no number of partners is
+a limit; so are all queries of a shard whose audit fails even at full width, as its graph is disconnected. Queries
+with few links return them; others return how many they have, and a spanning forest. Links become components, and
+copies follow their class.
 
 All steps run for many queries at once in numpy: beams advance side by side.
 """
@@ -23,13 +25,15 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, stored
 from .graph import components
-from .sstable import open_folder
+from .sstable import open_folder, sweep
 
-SHARD = 65_536
+SHARD, SHARD_BYTES = 65_536, 64 << 20
 LINKS, BUILD_BEAM, FIRST_BEAM = 16, 48, 32
 AUDITED, RECALL = 256, 0.995
-#: Queries compared with a whole shard at once.
-TILE = 256
+#: Vectors of all shards that every audit asks for, and how many have to have links.
+FOREIGN = 512
+#: Vectors of a block of queries, and queries that an audit compares with a whole shard at once.
+BLOCK, TILE = 8192, 256
 #: Slack for single precision; double precision decides afterwards.
 SLACK = 1e-3
 
@@ -170,58 +174,58 @@ class Graph:
         order = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
-    def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Query and row number of the points found at similarity `least` or more; beams widen while they are full of such."""
-        got: list[tuple[np.ndarray, np.ndarray]] = []
-        todo = np.arange(len(q))
+    def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query and row number of the points found at similarity `least` or more, and the queries whose beam is full of such, which are left out."""
         n = len(self.vecs)
-        while len(todo):
-            beam = min(beam, n)
-            ids, sims = self._beam(0, q[todo], self._entries(q[todo], 1), beam)
-            full = (sims[:, -1] >= least) & (beam < n)
-            r, c = np.nonzero((sims >= least) & (ids >= 0) & ~full[:, None])
-            got.append((todo[r], self.order[ids[r, c]]))
-            todo, beam = todo[full], beam * 2
-        return np.concatenate([g[0] for g in got] or [np.zeros(0, np.int64)]), np.concatenate([g[1] for g in got] or [np.zeros(0, np.int64)])
-
-    def tiles(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """As `within`, by comparing all queries with all points."""
-        got = [np.nonzero(q[i : i + TILE] @ self.vecs.T >= least) for i in range(0, len(q), TILE)]
-        rows = [r + i * TILE for i, (r, _) in enumerate(got)]
-        return np.concatenate(rows or [np.zeros(0, np.int64)]), self.order[np.concatenate([c for _, c in got] or [np.zeros(0, np.int64)])]
-
-    def audit(self, least: float) -> tuple[int, float]:
-        """The beam with which recall passes, and that recall; beam 0 if none does, not even one as wide as the shard.
-
-        Points are compared with the whole shard until AUDITED of them have links other than to themselves, or all have
-        been; recall is the lesser of that over links and the mean over these points. Without links it is 1.
-        """
-        n, linked = len(self.vecs), 0
-        some = np.random.default_rng(3).permutation(n)
-        asked, true = [], []
-        for i in range(0, n, TILE):
-            part = some[i : i + TILE]
-            near = self.vecs[part] @ self.vecs.T >= least
-            near[np.arange(len(part)), part] = False
+        beam = min(beam, n)
+        ids, sims = self._beam(0, q, self._entries(q, 1), beam)
+        full = (sims[:, -1] >= least) & (beam < n)
+        r, c = np.nonzero((sims >= least) & (ids >= 0) & ~full[:, None])
+        return r, self.order[ids[r, c]], np.flatnonzero(full)
+
+    def _asked(self, q: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of queries (own: the point that each is, or -1) the first AUDITED with links other than to themselves, and these links."""
+        asked, rows, points, linked = [], [], [], 0
+        for i in range(0, len(q), TILE):
+            near = q[i : i + TILE] @ self.vecs.T >= least
+            mine = np.flatnonzero(own[i : i + TILE] >= 0)
+            near[mine, own[i + mine]] = False
             r, c = np.nonzero(near)
             has, at = np.unique(r, return_inverse=True)
-            asked.append(part[has])
-            true.append((at + linked) * n + self.order[c])
+            asked.append(i + has)
+            rows.append(at + linked)
+            points.append(self.order[c])
             linked += len(has)
             if linked >= AUDITED:
                 break
-        if not linked:
-            return FIRST_BEAM, 1.0
-        asked, true = np.concatenate(asked), np.concatenate(true)
-        each, beam = np.bincount(true // n, minlength=linked), FIRST_BEAM
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (asked, rows, points))
+
+    def audit(self, least: float, foreign: np.ndarray | None = None) -> tuple[int, float, int]:
+        """The beam with which recall passes, that recall, and how many links it is of; beam 0 if none does, not even one as wide as the shard.
+
+        Points, and vectors of other shards (foreign), are compared with the whole shard until AUDITED of each have links
+        other than to themselves, or all have been; recall is the lesser of that over links and the mean over queries,
+        and full beams count as found, as such queries are compared with the whole shard. Without links it is 1.
+        """
+        n = len(self.vecs)
+        some = np.random.default_rng(3).permutation(n)
+        asked, rows, points = self._asked(self.vecs[some], some, least)
+        q = self.vecs[some[asked]]
+        if foreign is not None and len(foreign):
+            more, r, p = self._asked(foreign, np.full(len(foreign), -1), least)
+            q, rows, points = np.vstack([q, foreign[more]]), np.concatenate([rows, r + len(asked)]), np.concatenate([points, p])
+        if not len(rows):
+            return FIRST_BEAM, 1.0, 0
+        true = rows * n + points
+        each, beam = np.bincount(rows, minlength=len(q)), FIRST_BEAM
         while True:
-            a, b = self.within(self.vecs[asked], least, beam)
-            found = true[np.isin(true, a * n + b)]
-            recall = min(len(found) / len(true), float((np.bincount(found // n, minlength=linked) / each).mean()))
+            a, b, full = self.within(q, least, beam)
+            hit = np.isin(true, a * n + b) | np.isin(rows, full)
+            recall = min(float(hit.mean()), float((np.bincount(rows[hit], minlength=len(q)) / each).mean()))
             if recall >= RECALL:
-                return beam, recall
+                return beam, recall, len(true)
             if beam >= n:
-                return 0, recall
+                return 0, recall, len(true)
             beam *= 2
 
 
@@ -254,14 +258,57 @@ def _name(v):
     return F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2")
 
 
-def found_pairs(reps: DataFrame, least: float) -> tuple[DataFrame, list[dict]]:
-    """reps: node, dim, v. Pairs a < b of nodes at cosine `least` or more, each once, and a record of each shard's audit."""
+def shard_size(dim: int) -> int:
+    return max(1, min(SHARD, max(4096, SHARD_BYTES // (8 * dim))))
+
+
+FOUND = "kind int, a long, b long, a_shard long, b_shard long, a_n long, b_n long"
+PAIR, COUNT, EDGE = 0, 1, 2
+
+
+def _unit64(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def dense_links(raw: np.ndarray, at: np.ndarray, node: np.ndarray, other_raw: np.ndarray, other: np.ndarray, weight: np.ndarray, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Rows `at` of raw against all other_raw in double precision: the weight of the links of each, and edges (row, other) that span what they link."""
+    counts, edges = np.zeros(len(at), np.int64), []
+    points, label = _unit64(other_raw), np.arange(len(other))
+    step = max(1, 4_000_000 // max(1, len(other)))
+    for i in range(0, len(at), step):
+        rows = at[i : i + step]
+        sims = _unit64(raw[rows]) @ points.T
+        near = sims >= least
+        r, c = np.nonzero(np.abs(sims - least) < 1e-9)  # at the very threshold the quotient decides
+        near[r, c] = cosine(raw[rows[r]], other_raw[c]) >= least if len(r) else False
+        near &= node[rows][:, None] != other[None, :]
+        for k, row in enumerate(rows.tolist()):
+            counts[i + k] = weight[near[k]].sum()
+            groups, first = np.unique(label[near[k]], return_index=True)
+            edges += [(row, p) for p in np.flatnonzero(near[k])[first].tolist()]
+            if len(groups) > 1:
+                label[np.isin(label, groups)] = groups[0]
+    return counts, edges
+
+
+def found_links(reps: DataFrame, least: float) -> tuple[DataFrame, list[dict]]:
+    """reps: node, n, dim, v. Rows of FOUND, and a record of each shard's audit (dim, shard, size, beam, recall, links).
+
+    A PAIR is a link that a found in b's shard, among few; a COUNT is the weight of all the links that a has in a shard
+    (b_shard, b_n), where it has many; an EDGE joins what such links join.
+    """
     spark = reps.sparkSession
     folder = fresh_path(spark, "graphs")
     sizes = {r["dim"]: r["count"] for r in reps.groupBy("dim").count().collect()}
     shard = F.lit(0)
     for dim, n in sizes.items():
-        shard = F.when(F.col("dim") == dim, F.pmod(F.xxhash64("node"), F.lit(-(-n // SHARD)))).otherwise(shard)
+        shard = F.when(F.col("dim") == dim, F.pmod(F.xxhash64("node"), F.lit(-(-n // shard_size(dim))))).otherwise(shard)
+    dealt = reps.select("node", "n", "dim", "v", shard.cast("long").alias("shard"))
+    some = dealt.select("node", "dim", "v").orderBy(F.xxhash64(F.lit(5), "node"), "node").limit(FOREIGN).collect()
+    foreign = {d: unit(np.array([r["v"] for r in some if r["dim"] == d])) for d in {r["dim"] for r in some}}
+    names = {d: {r["node"] for r in some if r["dim"] == d} for d in foreign}
+    listed = {d: [r["node"] for r in some if r["dim"] == d] for d in foreign}
 
     def build(t: pa.Table) -> pa.Table:
         dim, number = t["dim"][0].as_py(), t["shard"][0].as_py()
@@ -269,68 +316,91 @@ def found_pairs(reps: DataFrame, least: float) -> tuple[DataFrame, list[dict]]:
         by = np.argsort(node, kind="stable")
         raw = _matrix(t["v"])[by]
         g = Graph.build(unit(raw))
-        beam, recall = g.audit(least - SLACK)
+        mine = names.get(dim, set()).intersection(node.tolist())
+        beam, recall, links = g.audit(least - SLACK, foreign[dim][[x not in mine for x in listed[dim]]] if dim in foreign else None)
         fs, at = open_folder(folder)
         fs.create_dir(at, recursive=True)
         name = f"{uuid.uuid4().hex}.npz"
-        out = io.BytesIO()
-        np.savez(out, node=node[by], raw=raw, order=g.order, **{f"level{i}": x for i, x in enumerate(g.levels)})
         with fs.open_output_stream(f"{at}/{name}") as f:
-            f.write(out.getvalue())
-        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([number], pa.int64()), "name": [name], "size": pa.array([len(node)], pa.int64()), "beam": pa.array([beam], pa.int64()), "recall": [recall]})
+            out = io.BytesIO()
+            np.savez(out, node=node[by], n=t["n"].to_numpy()[by], raw=raw, order=g.order, **{f"level{i}": x for i, x in enumerate(g.levels)})
+            f.write(out.getbuffer())
+        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([number], pa.int64()), "name": [name], "size": pa.array([len(node)], pa.int64()), "beam": pa.array([beam], pa.int64()), "recall": [recall], "links": pa.array([links], pa.int64())})
 
-    dealt = reps.select("node", "dim", "v", shard.cast("long").alias("shard"))
-    made = [r.asDict() for r in dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard long, name string, size long, beam long, recall double").collect()]
+    made = [r.asDict() for r in dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard long, name string, size long, beam long, recall double, links long").collect()]
+    sweep(folder, {s["name"] for s in made})
 
     def load(name: str):
         fs, at = open_folder(f"{folder}/{name}")
         with fs.open_input_file(at) as f:
             z = np.load(io.BytesIO(f.read()))
-            return z["node"], z["raw"], Graph(unit(z["raw"])[z["order"]], z["order"], [z[f"level{i}"] for i in range(sum(k.startswith("level") for k in z.files))])
+            return z["node"], z["n"], z["raw"], Graph(unit(z["raw"])[z["order"]], z["order"], [z[f"level{i}"] for i in range(sum(k.startswith("level") for k in z.files))])
 
     def query(batches):
-        held: dict = {}
+        held, size = [], 0  # a task's block of queries, so that a graph is loaded once for it
         for b in batches:
-            dims = b.column("dim").to_numpy()
-            for dim in np.unique(dims).tolist():
-                mine = b.filter(pa.array(dims == dim))
-                node, raw = mine.column("node").to_numpy(), _matrix(mine.column("v"))
-                q = unit(raw)
-                for s in made:
-                    if s["dim"] != dim:
-                        continue
-                    if s["name"] not in held:
-                        held.clear()
-                        held[s["name"]] = load(s["name"])
-                    other, other_raw, g = held[s["name"]]
-                    x, y = g.within(q, least - SLACK, s["beam"]) if s["beam"] else g.tiles(q, least - SLACK)
-                    ok = node[x] != other[y]
-                    x, y = x[ok], y[ok]
-                    ok = cosine(raw[x], other_raw[y]) >= least if len(x) else np.zeros(0, bool)
-                    a, c = node[x[ok]], other[y[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
-
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(sizes.values()) // 8192))
-    spread = reps.select("node", "dim", "v").repartition(parts, "node")
-    return spread.mapInArrow(query, "a long, b long").distinct(), made
-
-
-def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
+            held.append(b)
+            size += b.num_rows
+            if size >= BLOCK:
+                yield from ask(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield from ask(pa.Table.from_batches(held))
+
+    def ask(t: pa.Table):
+        dims = t["dim"].to_numpy()
+        for s in made:
+            if not (dims == s["dim"]).any():
+                continue
+            mine = t.filter(pa.array(dims == s["dim"]))
+            node, n, home = (mine[c].to_numpy() for c in ("node", "n", "shard"))
+            raw = _matrix(mine["v"])
+            q = unit(raw)
+            other, weight, other_raw, g = load(s["name"])
+            x, y, full = g.within(q, least - SLACK, s["beam"]) if s["beam"] else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.arange(len(q)))
+            ok = node[x] != other[y]
+            x, y = x[ok], y[ok]
+            ok = cosine(raw[x], other_raw[y]) >= least if len(x) else np.zeros(0, bool)
+            x, y = x[ok], y[ok]
+            yield rows(PAIR, node[x], other[y], home[x], s["shard"], n[x], weight[y])
+            counts, edges = dense_links(raw, full, node, other_raw, other, weight, least)
+            yield rows(COUNT, node[full], node[full], home[full], s["shard"], n[full], counts)
+            e = np.array(edges, dtype=np.int64).reshape(-1, 2)
+            yield rows(EDGE, node[e[:, 0]], other[e[:, 1]], home[e[:, 0]], s["shard"], n[e[:, 0]], weight[e[:, 1]])
+
+    def rows(kind, a, b, a_shard, b_shard, a_n, b_n):
+        cols = (a, b, a_shard, np.full(len(a), b_shard), a_n, b_n)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), *(pa.array(c, pa.int64()) for c in cols)], ["kind", "a", "b", "a_shard", "b_shard", "a_n", "b_n"])
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(sizes.values()) // BLOCK))
+    return dealt.repartition(parts, "node").mapInArrow(query, FOUND), made
+
+
+def link_counts(found: DataFrame) -> DataFrame:
+    """found: of found_links. a, others: the weight of the links of each node that has some; a link that only one side found counts for both."""
+    counted = found.where(F.col("kind") == COUNT).select("a", "b_shard", "b_n")
+    pairs = found.where(F.col("kind") == PAIR)
+    both = pairs.select("a", "b", "b_shard", "b_n").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("a_shard").alias("b_shard"), F.col("a_n").alias("b_n"))).distinct()
+    few = both.join(counted, ["a", "b_shard"], "left_anti").select("a", "b_n")
+    return few.union(counted.select("a", "b_n")).groupBy("a").agg(F.sum("b_n").alias("others"))
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.9, audits: list[dict] | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of vectors (vec_id, embedding).
 
     Rows link when their cosine in double precision is `least` or more. Embeddings that are null, empty, zero, or hold
     null or non-finite components link with nothing; vectors of different lengths don't link with each other; a row
     with a null vec_id takes no part and gets 0, null and false. Rows with the same vec_id are rows of their own that
-    share a name. Other columns are ignored; no rows give no rows.
+    share a name. Other columns are ignored; no rows give no rows. audits, if given, gets a record of each shard's audit.
     """
     v = F.col("embedding").cast("array<double>")
     reps = stored(classes(vectors), "vectors")
-    pairs = stored(found_pairs(reps, least)[0], "pairs")
-    groups = components(pairs)
-    sizes = reps.select(F.col("node").alias("_n"), F.col("n").alias("_c"))
-    ends = pairs.union(pairs.select("b", "a")).toDF("a", "b")
-    linked = ends.join(sizes, F.col("b") == F.col("_n")).groupBy("a").agg(F.sum("_c").alias("others"))
-    final = reps.join(linked, F.col("node") == F.col("a"), "left").drop("a").join(groups.withColumnRenamed("node", "a"), F.col("node") == F.col("a"), "left")
+    links, made = found_links(reps, least)
+    if audits is not None:
+        audits += made
+    found = stored(links, "links")
+    groups = components(found.where(F.col("kind") != COUNT).select("a", "b")).withColumnRenamed("node", "a")
+    final = reps.join(link_counts(found), F.col("node") == F.col("a"), "left").drop("a").join(groups, F.col("node") == F.col("a"), "left")
     final = final.select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "node").alias("group"))
     named = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), *_name(v)).join(final, ["h1", "h2"], "left")
     inside = F.col("vec_id").isNotNull()

@@ -16,6 +16,7 @@ sort as the integers do. Rows with the same doc_id keep all their entries, besid
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -27,25 +28,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, stored
 from .tokens import END_ID, encoder
 
 MAGIC = b"RCSSTAB1"
 BLOCK_BYTES = 64 * 1024
 BITS_PER_KEY, HASHES = 10, 7
+#: A shard ends after the document with which it reaches so many bytes or keys, and the task begins another.
+SHARD_BYTES, SHARD_KEYS = 512 << 20, 2_000_000
 _INDEX = struct.Struct("<9sQQQ")
 _FOOTER = struct.Struct("<8Q8s")
 
 
 def open_folder(uri: str):
-    """File system and path of a folder that driver and executors share."""
+    """File system and path of a folder that driver and executors share. The names that Spark has for S3 are pyarrow's s3."""
     from pyarrow import fs
 
+    uri = re.sub("^s3[an]://", "s3://", uri)
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+def sweep(folder: str, keep: set[str]) -> None:
+    """Deletes what tasks that failed or ran twice left in a folder: all files but those named."""
+    from pyarrow import fs as kinds
+
+    fs, at = open_folder(folder)
+    for x in fs.get_file_info(kinds.FileSelector(at, allow_not_found=True)):
+        if x.is_file and x.base_name not in keep:
+            fs.delete_file(x.path)
+
+
 def key_of(doc_id) -> bytes:
     return b"\x00" + b"\x00" * 8 if doc_id is None else b"\x01" + struct.pack(">Q", (int(doc_id) + (1 << 63)) & (2**64 - 1))
 
@@ -92,6 +106,8 @@ class Writer:
         self.ids = self.ids_before = 0
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> (8 * self.width):
+            raise ValueError(f"an id does not fit {self.width} bytes")
         shared = 0
         if self.block:
             while shared < len(key) and key[shared] == self.last[shared]:
@@ -183,34 +199,50 @@ class Reader:
 def write_shards(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", width: int = 2) -> list[dict]:
     """Encodes doc_id and text of docs into shards under folder, in ascending doc_id order over all shards.
 
-    Returns a record for each shard (path, docs, ids, first), in order; there are as many as partitions.
-    Null text is empty, every document ends with id 0, other columns are ignored, no rows give no shards. A task
-    writes under a name of its own and only the names of tasks that ended well are returned, so tasks that run
-    twice do no harm. width is the number of bytes of an id; 2 holds vocabularies up to 65,536.
+    Returns a record for each shard (path, docs, ids, first), in order; a partition has one, or more by SHARD_BYTES and
+    SHARD_KEYS. Null text is empty, every document ends with id 0, other columns are ignored, no rows give no shards. A
+    task writes under names of its own, and what tasks that failed or ran twice wrote is deleted. Documents are encoded
+    first, so that ids are sorted and not texts. width is the number of bytes of an id, 2 or 4; 2 holds vocabularies up
+    to 65,536, and an id that does not fit is an error.
     """
 
+    def encode(batches):
+        enc, end = encoder(tokenizer), np.array([END_ID], dtype="<u4").tobytes()
+        for b in batches:
+            ids = [np.frombuffer(x + end, dtype="<u4") for x in enc.encode(b.column("text").to_pylist())]
+            if any(int(x.max()) >> (8 * width) for x in ids):
+                raise ValueError(f"an id does not fit {width} bytes")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.astype(f"<u{width}").tobytes() for x in ids], pa.binary())], ["doc_id", "ids"])
+
     def write(batches):
         fs, at = open_folder(folder)
         fs.create_dir(at, recursive=True)
-        name = f"{uuid.uuid4().hex}.sst"
-        enc, w, first, n = encoder(tokenizer), None, None, 0
-        end = np.array([END_ID], dtype="<u4")
+        w = None
         for b in batches:
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist()), strict=True):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
                 if w is None:
+                    name = f"{uuid.uuid4().hex}.sst"
                     out = fs.open_output_stream(f"{at}/{name}")
                     w, first = Writer(out, width), doc_id
-                w.add(key_of(doc_id), np.concatenate([np.frombuffer(ids, dtype="<u4"), end]))
-                n += 1
+                w.add(key_of(doc_id), np.frombuffer(ids, dtype=f"<u{width}"))
+                if w.at >= SHARD_BYTES or len(w.keys) >= SHARD_KEYS:
+                    yield closed(w, out, name, first)
+                    w = None
         if w is not None:
-            w.close()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"name": [name], "docs": [n], "ids": [w.ids], "first": pa.array([first], pa.int64())})
+            yield closed(w, out, name, first)
+
+    def closed(w, out, name, first):
+        w.close()
+        out.close()
+        last = id_of(w.keys[-1])
+        return pa.RecordBatch.from_pydict({"name": [name], "docs": [len(w.keys)], "ids": [w.ids], "first": pa.array([first], pa.int64()), "last": pa.array([last], pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = stored(rows.mapInArrow(encode, "doc_id long, ids binary"), "ids")
     rows = rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
-    made = rows.mapInArrow(write, "name string, docs long, ids long, first long").collect()
-    made.sort(key=lambda r: (r["first"] is not None, r["first"] or 0))
+    made = rows.mapInArrow(write, "name string, docs long, ids long, first long, last long").collect()
+    sweep(folder, {r["name"] for r in made})
+    made.sort(key=lambda r: (r["first"] is not None, r["first"] or 0, r["last"] is not None, r["last"] or 0))
     return [{"path": f"{folder}/{r['name']}", "docs": r["docs"], "ids": r["ids"], "first": r["first"]} for r in made]
 
 

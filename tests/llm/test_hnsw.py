@@ -51,9 +51,10 @@ def test_recall_of_one_graph():
     base = rng.normal(size=(400, 32))
     v = hnsw.unit(np.concatenate([base + 0.2 * rng.normal(size=base.shape) for _ in range(8)]))
     g = hnsw.Graph.build(v)
-    beam, recall = g.audit(0.9)
-    assert recall >= 0.99
-    a, b = g.within(v, 0.9, beam)
+    beam, recall, links = g.audit(0.9)
+    assert recall >= 0.99 and links >= hnsw.AUDITED
+    a, b, full = g.within(v, 0.9, beam)
+    assert not len(full)
     found = set(zip(a.tolist(), b.tolist(), strict=True))
     true = set(map(tuple, np.argwhere(v @ v.T >= 0.9).tolist()))
     assert len(found & true) >= 0.99 * len(true) and found <= true | {(i, i) for i in range(len(v))}
@@ -64,36 +65,57 @@ def test_audit_measures_rare_links():
     base = rng.normal(size=(3000, 32))
     v = hnsw.unit(np.concatenate([base, base[:4] + 0.05 * rng.normal(size=(4, 32))]))
     g = hnsw.Graph.build(v)
-    assert g.audit(0.9)[1] == 1.0
+    assert g.audit(0.9)[1:] == (1.0, 8)
     for x in g.levels:  # no way leads anywhere: all links are lost, whatever the beam
         x[:] = -1
-    assert g.audit(0.9) == (0, 0.0)
-    assert hnsw.Graph.build(hnsw.unit(base)).audit(0.9) == (hnsw.FIRST_BEAM, 1.0)
+    assert g.audit(0.9) == (0, 0.0, 8)
+    assert hnsw.Graph.build(hnsw.unit(base)).audit(0.9) == (hnsw.FIRST_BEAM, 1.0, 0)
+
+
+def test_audit_asks_for_vectors_of_other_shards():
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(2000, 32))
+    g = hnsw.Graph.build(hnsw.unit(base))
+    foreign = hnsw.unit(base[:40] + 0.05 * rng.normal(size=(40, 32)))
+    assert g.audit(0.9)[2] == 0
+    beam, recall, links = g.audit(0.9, foreign)
+    assert links >= 40 and recall >= hnsw.RECALL and beam
+    for x in g.levels:
+        x[:] = -1
+    assert g.audit(0.9, foreign)[0] == 0
+
 
+def test_audits_are_told_and_whole_shards_compared(spark, vectors, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD", 90)
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    audits = []
+    rows = sorted(map(tuple, hnsw.near_duplicates(df, audits=audits).collect()))
+    assert len(audits) >= 4 and all(a["recall"] >= hnsw.RECALL and a["beam"] for a in audits) and any(a["links"] for a in audits)
 
-def test_disconnected_shards_are_compared_whole(spark, vectors, monkeypatch):
-    build = hnsw.Graph.build
+    v = np.array([x for _, x in vectors])
+    node = np.array([i for i, _ in vectors])
+    counts, edges = hnsw.dense_links(v, np.arange(len(v)), node, v, node, np.ones(len(v), np.int64), 0.9)
+    assert counts.tolist() == [n for _, n, _ in plain(vectors)]
+    label = {i: i for i in node.tolist()}
 
-    def cut(vecs, seed=11):
-        g = build(vecs, seed)
-        for x in g.levels:
-            x[:] = -1
-        return g
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
 
-    monkeypatch.setattr(hnsw.Graph, "build", cut)
-    g = hnsw.Graph.build(hnsw.unit(np.array([v for _, v in vectors])))
-    q = hnsw.unit(np.array([v for _, v in vectors]))
-    beam, recall = g.audit(0.9)
-    a, b = g.tiles(q, 0.9)
-    assert beam == 0 and recall < hnsw.RECALL
-    assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(map(tuple, np.argwhere(q @ q.T >= 0.9).tolist()))
+    for row, p in edges:
+        a, b = sorted((root(int(node[row])), root(int(node[p]))))
+        label[b] = a
+    assert [root(i) for i in node.tolist()] == [g for _, _, g in plain(vectors)]
+    assert len(edges) <= 2 * len(v)
+    assert rows == sorted((i, n, g, i == g) for i, n, g in plain(vectors))
 
 
-def test_a_dense_group_is_found_whole():
+def test_a_dense_group_is_told_apart():
     rng = np.random.default_rng(2)
     v = hnsw.unit(np.concatenate([np.ones((900, 8)) + 0.02 * rng.normal(size=(900, 8)), rng.normal(size=(500, 8))]))
-    a, b = hnsw.Graph.build(v).within(v[:20], 0.99, 32)
-    assert all((b[a == i] < 900).sum() >= 890 for i in range(20))
+    a, _, full = hnsw.Graph.build(v).within(v[:20], 0.99, 32)
+    assert full.tolist() == list(range(20)) and not len(a)
 
 
 def test_no_vectors(spark):

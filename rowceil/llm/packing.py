@@ -3,7 +3,9 @@
 A document's ids (with the end id) are cut into pieces of the full length and one rest. The histogram of piece
 lengths has at most as many rows as a sequence has ids, so packing runs on the driver whatever the number of
 documents: lengths go longest first, each into the open pattern that is filled least and still has room, as many
-copies at once as there are. Pieces then meet their places by rank among pieces of their length.
+copies at once as there are. Pieces then meet their places by rank among pieces of their length: for rests the rank is
+counted within (length, part), with as many parts as the counts ask for; pieces of the full length are numbered where
+they are cut, and tasks follow each other.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ from pyspark.sql.window import Window
 from .common import stored
 from .tokens import END_ID, encoder
 
-#: Parts into which each length is dealt for ranking, so that no length is one task's work.
-RANK_PARTS = 64
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: Pieces of one length that are ranked together, about.
+RANKED = 250_000
+NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+PIECES = ", ".join(f"{x} long" for x in NAMES)
 
 
 def pack_histogram(counts: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]:
@@ -98,20 +101,24 @@ class Places:
 
 
 def cut_into_pieces(docs: DataFrame, tokenizer: str, room: int) -> DataFrame:
+    """PIECES, and nth: of a piece of the full length its number among those of its task, from 0; null for others."""
+
     def cut(batches):
-        enc, end = encoder(tokenizer), np.array([END_ID], dtype="<u4").tobytes()
+        enc, end, full = encoder(tokenizer), np.array([END_ID], dtype="<u4").tobytes(), 0
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist()), strict=True):
                 ids = memoryview(ids + end)
                 n = len(ids) // 4
                 for start in range(0, n, room):
                     piece = ids[4 * start : 4 * (start + room)]
-                    for col, x in zip(out, (doc_id, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
+                    whole = len(piece) == 4 * room
+                    for col, x in zip(out, (doc_id, start, len(piece) // 4, zlib.crc32(piece), n, full if whole else None), strict=True):
                         col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    full += whole
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES + ", nth long")
 
 
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", room: int = 1024) -> DataFrame:
@@ -121,22 +128,39 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", room: int = 1024
     null; other columns are ignored; no rows give no rows. Pieces of one length with equal doc_id and start have
     equal claims to their places, and their checksum decides.
     """
-    pieces = stored(cut_into_pieces(docs, tokenizer, room), "pieces")
-    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(RANK_PARTS)).cast("int")
-    counts = pieces.groupBy("length", part.alias("part")).count().collect()  # room x RANK_PARTS rows at most
-    total: dict[int, int] = {}
-    before = np.zeros((room + 1, RANK_PARTS), dtype=np.int64)
-    for length, p, n in sorted(tuple(r) for r in counts):
-        before[length, p] = total.get(length, 0)
-        total[length] = total.get(length, 0) + n
+    pieces = stored(cut_into_pieces(docs, tokenizer, room).withColumn("task", F.spark_partition_id()), "pieces")
+    total = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # room rows at most
     places = Places(pack_histogram(total, room), room)
-    ranked = pieces.withColumn("part", part).withColumn("n", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")))
+    parts = [max(1, -(-total.get(length, 0) // RANKED)) for length in range(room + 1)]
+    key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.element_at(F.array(*map(F.lit, parts)), F.col("length").cast("int") + 1)).cast("int")
+    rests = pieces.where("nth is null").withColumn("part", key)
+    counts = rests.groupBy("length", "part").count().collect()  # a row for each RANKED pieces, and room more
+    tasks = pieces.where("nth is not null").groupBy("task").count().collect()  # a row for each task that has cut documents
+    before: dict[int, np.ndarray] = {length: np.zeros(n, dtype=np.int64) for length, n in enumerate(parts)}
+    for length, part, n in map(tuple, counts):
+        before[length][part] = n
+    before = {length: np.cumsum(n) - n for length, n in before.items() if n.any()}
+    first, so_far = np.zeros(max((r["task"] for r in tasks), default=0) + 1, dtype=np.int64), 0
+    for task, n in sorted(map(tuple, tasks)):
+        first[task], so_far = so_far, so_far + n
+
+    def put(b, length, rank):
+        sequence, offset = places.find(length, rank)
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in NAMES), pa.array(sequence), pa.array(offset)], [*NAMES, "sequence_id", "offset"])
 
     def place(batches):
         for b in batches:
-            length = b.column("length").to_numpy()
-            rank = before[length, b.column("part").to_numpy()] + b.column("n").to_numpy() - 1
-            sequence, offset = places.find(length, rank)
-            yield b.drop_columns(["part", "n"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+            length, part = b.column("length").to_numpy(), b.column("part").to_numpy()
+            rank = b.column("n").to_numpy() - 1
+            for one in np.unique(length).tolist():
+                at = np.flatnonzero(length == one)
+                rank[at] += before[one][part[at]]
+            yield put(b, length, rank)
+
+    def place_full(batches):
+        for b in batches:
+            yield put(b, b.column("length").to_numpy(), first[b.column("task").to_numpy()] + b.column("nth").to_numpy())
 
-    return ranked.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    ranked = rests.withColumn("n", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")).cast("long"))
+    schema = PIECES + ", sequence_id long, offset long"
+    return ranked.mapInArrow(place, schema).union(pieces.where("nth is not null").mapInArrow(place_full, schema))

@@ -154,3 +154,34 @@ def test_packing_odd_texts(spark, make_docs, library, odd_texts):
     check_packing(rows, dict(enumerate(odd_texts)), library)
     doubled = packing.pack(make_docs([(1, "a b", "s"), (1, "a b", "s"), (None, "c", "s")])).collect()
     assert len({(r.sequence_id, r.offset) for r in doubled}) == 3
+
+
+def test_ranks_in_parts_and_long_documents(make_docs, library, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 7)
+    texts = {i: "word " * n for i, n in enumerate([5] * 60 + [1500, 2047, 2048, 4000] * 5)}
+    rows = packing.pack(make_docs(list(texts.values())), room=64).collect()
+    check_packing(rows, texts, library, 64)
+    ids = {r.sequence_id for r in rows}
+    assert ids == set(range(len(ids)))
+
+
+def test_shards_end_by_size_and_ids_must_fit(spark, make_docs, monkeypatch, tmp_path):
+    docs = make_docs([(i, f"text number {i} " * 40, "s") for i in range(300)])
+    want = sorted(map(tuple, sstable.tokens_on_disk(docs).drop("shard").collect()))
+    monkeypatch.setattr(sstable, "BLOCK_BYTES", 512)
+    real = sstable.write_shards
+    shards = real(docs.coalesce(1), str(tmp_path / "a"))
+    assert want == sorted(map(tuple, sstable.read_shards(spark, shards).drop("shard").collect()))
+    w = sstable.Writer(open(tmp_path / "x", "wb"), 2)  # noqa: SIM115
+    with pytest.raises(ValueError):
+        w.add(sstable.key_of(1), np.array([70_000], dtype="<u4"))
+    with pytest.raises(Exception, match="does not fit"):
+        real(docs, str(tmp_path / "b"), width=1)
+
+
+def test_sweep_leaves_what_is_named(tmp_path):
+    for x in ("a.sst", "b.sst", "c.sst"):
+        (tmp_path / x).write_bytes(b"x")
+    sstable.sweep(str(tmp_path), {"b.sst"})
+    assert [p.name for p in tmp_path.iterdir()] == ["b.sst"]
+    sstable.sweep(str(tmp_path / "none"), set())

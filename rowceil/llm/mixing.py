@@ -4,7 +4,7 @@ A source's weight is its share of all tokens to the power of an exponent, normal
 sources equal. The exponent is bisected to the largest that reaches the target entropy; if some source would then be
 repeated more than the limit, it is bisected to the smallest that keeps the limit. Each source's token budget is then
 spent in epochs: whole passes over its blocks of documents, each in a permutation of its own, and of the last pass as
-many blocks as the budget allows, the last of them in part.
+many blocks as the budget allows, the last of them in part. Tokens are ids of the tokenizer that later stages use.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, words_of
+from .common import looked_up, stored
+from .tokens import encoder
 
 
 @dataclass(frozen=True)
@@ -28,6 +30,7 @@ class Mix:
     #: Tokens of the mix as a multiple of the tokens there are.
     budget_share: float = 1.0
     block_tokens: int = 1 << 20
+    tokenizer: str = "byte_bpe_50k.json"
     seed: int = 1
 
 
@@ -39,9 +42,17 @@ def _source() -> Column:
     return F.coalesce(F.col("source").cast("string"), F.lit(""))
 
 
-def token_count() -> Column:
-    """Words, and one for the end of the document."""
-    return (F.size(words_of(F.col("text").cast("string"))) + 1).cast("long")
+def token_counts(docs: DataFrame, mix: Mix) -> DataFrame:
+    """doc_id, src, key (that of `_row_key`) and tokens (ids, and one for the end) of each row of docs."""
+
+    def count(batches):
+        enc = encoder(mix.tokenizer)
+        for b in batches:
+            tokens = [len(x) // 4 + 1 for x in enc.encode(b.column("text").to_pylist())]
+            yield b.drop_columns(["text"]).append_column("tokens", pa.array(tokens, pa.int64()))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _source().alias("src"), _row_key(mix.seed).alias("key"), F.col("text").cast("string").alias("text"))
+    return stored(rows.mapInArrow(count, "doc_id long, src string, key long, tokens long"), "mix-rows")
 
 
 def _row_key(seed: int) -> Column:
@@ -87,48 +98,55 @@ def find_exponent(shares: DataFrame, mix: Mix = Mix()) -> float:  # noqa: B008
     return min(1.0, _bisect(shares, lambda entropy, ratio: ratio > limit) + 2.0 ** -(DEPTH * ROUNDS))
 
 
-def plan(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
-    """A row for each block of documents that is used: src, block, whole (times in full), cut (null, or the greatest
-    row key of its last use, in part), and at (an array of its places in the source's stream, as shares of it)."""
-    rows = stored(docs.select(_source().alias("src"), token_count().alias("tokens"), _row_key(mix.seed).alias("key")), "mix-rows")
+#: Parts of the order of a source's blocks that are summed first.
+PARTS = 1024
+
+
+def plan(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
+    """rows: of token_counts. A row for each block of documents that is used: src, block, blocks (of the source), cut
+    (null, or the greatest row key of its last use, in part), part (the epoch of that use) and at (its epochs, with its
+    place in the source's stream, as a share of it)."""
     totals = rows.groupBy("src").agg(F.sum("tokens").alias("total"))
     total = totals.agg(F.sum("total")).first()[0] or 0
     shares = stored(totals.withColumn("p", F.col("total") / F.lit(float(total or 1))), "mix-shares")
     x = find_exponent(shares, mix)
     z = shares.agg(F.sum(F.pow("p", F.lit(x)))).first()[0] or 1.0
     budget = F.floor(F.pow("p", F.lit(x)) / F.lit(z) * F.lit(mix.budget_share * total) + F.lit(1e-6)).cast("long")
-    sources = shares.select("src", "total", budget.alias("budget"), F.ceil(F.col("total") / F.lit(mix.block_tokens)).alias("blocks"))
-    dealt = rows.join(sources, "src").withColumn("block", block_of(mix.seed, F.col("key"), F.col("blocks")))
-    blocks = dealt.groupBy("src", "block").agg(F.sum("tokens").alias("size"), F.first("total").alias("total"), F.first("budget").alias("budget"))
+    sources = stored(shares.select("src", "total", budget.alias("budget"), F.ceil(F.col("total") / F.lit(mix.block_tokens)).alias("blocks")), "mix-sources")
+    dealt = looked_up(rows, sources, ["src"], F.col("key")).withColumn("block", block_of(mix.seed, F.col("key"), F.col("blocks")))
+    blocks = dealt.groupBy("src", "block").agg(F.sum("tokens").alias("size"), F.first("total").alias("total"), F.first("budget").alias("budget"), F.first("blocks").alias("blocks"))
     passes = F.sequence(F.lit(0).cast("long"), F.floor(F.col("budget") / F.col("total")))
     uses = blocks.withColumn("epoch", F.explode(passes)).withColumn("order", F.xxhash64(F.lit(mix.seed), "src", "epoch", "block"))
-    before = F.sum("size").over(Window.partitionBy("src").orderBy("epoch", "order", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    uses = stored(uses.withColumn("before", before).where("before < budget"), "mix-uses")
-    part = uses.where("before + size > budget").select("src", "block", (F.col("budget") - F.col("before")).alias("room"))  # one block of a source at most
-    inside = dealt.select("src", "block", "key", "tokens").join(part, ["src", "block"])
-    so_far = F.sum("tokens").over(Window.partitionBy("src", "block").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    cuts = inside.withColumn("so_far", so_far).where("so_far <= room").groupBy("src", "block").agg(F.max("key").alias("cut"))
+    # sums over what comes before, by parts of the order, so that no source is one task's work
+    part = F.shiftright("order", 64 - int(math.log2(PARTS))).cast("int")
+    uses = stored(uses.withColumn("segment", part), "mix-blocks")
+    running = lambda keys, order: F.sum("size").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    segments = uses.groupBy("src", "epoch", "segment").agg(F.sum("size").alias("size"))
+    epochs = segments.groupBy("src", "epoch").agg(F.sum("size").alias("size"))
+    epochs = epochs.select("src", "epoch", running(["src"], ["epoch"]).alias("before_epoch"))  # an epoch is one row
+    segments = segments.withColumn("inside", running(["src", "epoch"], ["segment"])).join(epochs, ["src", "epoch"]).select("src", "epoch", "segment", (F.col("inside") + F.col("before_epoch")).alias("start"))
+    uses = uses.withColumn("so_far", running(["src", "epoch", "segment"], ["order", "block"])).join(segments, ["src", "epoch", "segment"])
+    uses = stored(uses.withColumn("before", F.col("so_far") + F.col("start")).where("before < budget"), "mix-uses")
+    last = uses.where("before + size > budget").select("src", "block", (F.col("budget") - F.col("before")).alias("room"))  # one block of a source at most
+    inside = dealt.select("src", "block", "key", "tokens").join(last, ["src", "block"])
+    up_to = F.sum("tokens").over(Window.partitionBy("src", "block").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    cuts = inside.withColumn("up_to", up_to).where("up_to <= room").groupBy("src", "block").agg(F.max("key").alias("cut"))
     full = F.col("before") + F.col("size") <= F.col("budget")
     place = (F.col("before") / F.col("budget")).alias("at")
-    used = uses.groupBy("src", "block").agg(F.sum(full.cast("int")).alias("whole"), F.array_sort(F.collect_list(F.struct("epoch", place))).alias("at"), F.max(F.when(~full, F.col("epoch"))).alias("_part"))
-    out = used.join(cuts, ["src", "block"], "left").join(sources.select("src", "blocks"), "src")
-    return stored(out.select("src", "block", "blocks", "whole", "cut", F.col("_part").alias("part"), "at"), "mix-plan")
+    used = uses.groupBy("src", "block").agg(F.first("blocks").alias("blocks"), F.array_sort(F.collect_list(F.struct("epoch", place))).alias("at"), F.max(F.when(~full, F.col("epoch"))).alias("part"))
+    return stored(used.join(cuts, ["src", "block"], "left").select("src", "block", "blocks", "cut", "part", "at"), "mix-plan")
 
 
 def block_of(seed: int, key: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), key), blocks)
 
 
-def _used(docs: DataFrame, mix: Mix) -> DataFrame:
-    """docs with _use, a struct of epoch and at, for each time that a row is used."""
-    made = plan(docs, mix)
-    blocks = made.select("src", "blocks").distinct()
-    d = docs.withColumn("_src", _source()).withColumn("_key", _row_key(mix.seed))
-    d = d.join(blocks.select(F.col("src").alias("_src"), F.col("blocks").alias("_blocks")), "_src").withColumn("_block", block_of(mix.seed, F.col("_key"), F.col("_blocks")))
-    p = made.select(F.col("src").alias("_src"), F.col("block").alias("_block"), F.col("cut").alias("_cut"), F.col("part").alias("_part"), F.col("at").alias("_at"))
-    d = d.join(p, ["_src", "_block"])
-    mine = F.filter("_at", lambda u: F.col("_part").isNull() | (u["epoch"] != F.col("_part")) | F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(False)))
-    return d.withColumn("_use", F.explode(mine))
+def _used(rows: DataFrame, made: DataFrame, mix: Mix) -> DataFrame:
+    """rows (src, key, others not called use, blocks, cut, part or at) with block and use, a struct of epoch and at, for each time that a row is used."""
+    dealt = looked_up(rows, stored(made.groupBy("src").agg(F.first("blocks").alias("blocks")), "mix-known"), ["src"], F.col("key"))
+    dealt = dealt.withColumn("block", block_of(mix.seed, F.col("key"), F.col("blocks"))).drop("blocks").join(made.drop("blocks"), ["src", "block"])
+    mine = F.filter("at", lambda u: F.col("part").isNull() | (u["epoch"] != F.col("part")) | F.coalesce(F.col("key") <= F.col("cut"), F.lit(False)))
+    return dealt.withColumn("use", F.explode(mine))
 
 
 def schedule(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
@@ -138,10 +156,12 @@ def schedule(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
     weight. Null text has the end token alone; a null source is the source ''; null doc_ids and repeated rows are
     used like any other, equal rows together. Other columns are ignored; no rows give no rows.
     """
-    used = _used(docs.select("doc_id", "text", "source"), mix)
-    return used.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_src").alias("source"), token_count().alias("tokens"), F.col("_use.epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_use.at").alias("position"))
+    rows = token_counts(docs, mix)
+    used = _used(rows, plan(rows, mix), mix)
+    return used.select("doc_id", F.col("src").alias("source"), "tokens", F.col("use.epoch").alias("epoch"), "block", F.col("use.at").alias("position"))
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
     """The rows of docs, each as often as the mix uses it, with their columns."""
-    return _used(docs, mix).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), _source().alias("src"), _row_key(mix.seed).alias("key"))
+    return _used(rows, plan(token_counts(docs, mix), mix), mix).select("row.*")

@@ -1,41 +1,29 @@
 """Licence scans in DataFrame functions alone: sparse TF-IDF cosine to templates, then inheritance along paths.
 
-Sentences of whole texts that speak of licences, copyright or rights are compared with templates of notices. Terms
-weigh by their rarity among all such sentences of the corpus and the templates; a sentence that occurs often is
-compared once and counted as often as it occurs. A file mostly made of a notice, or named like a licence file,
-speaks for its directory, and a file without a licence of its own takes that of its nearest ancestor directory.
+What a text may say of its licence is cut out in several ways, and each unit is compared with the templates: sentences,
+by lines and across lines, paragraphs (such as headers), and all paragraphs of the text that speak of licences together
+(such as the whole of a licence file). Marks of comments are left out. A paragraph or sentence speaks of licences if it
+holds one of MARKS, as every template does and every part of a licence that could be alike to one alone. Terms weigh by
+their rarity among all units of the corpus and the templates; a unit that occurs often is compared once and counted as
+often as it occurs. The longest unit that is like a template decides, so that a phrase which many licences share
+doesn't outvote a body; an SPDX identifier comes before all. A file mostly made of notices, or named like a licence
+file, speaks for its directory, and a file without a licence of its own takes that of its nearest ancestor directory.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from .common import stored, words_of
-
-#: The notices in which these licences are commonly declared.
-TEMPLATES = {
-    "AGPL-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-2-Clause": "Redistributed under the BSD 2-Clause Simplified License.",
-    "BSD-3-Clause": "Redistributed under the BSD 3-Clause New or Revised License.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC0-1.0": "Released to the public domain under CC0 1.0 Universal.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This file is subject to the terms of the Mozilla Public License, version 2.0.",
-    "Proprietary": "All rights reserved.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
-
-#: A sentence without one of these is not compared.
-MARKS = r"licen[cs]|copyright|rights reserved|public domain|\bspdx\b"
+
+from .common import looked_up, stored
+from .license_texts import MARKS, TEMPLATES
+
+MARK = "|".join(MARKS)
 LICENCE_FILE = r"(^|/)(licen[cs]es?|copying|unlicense)([.\-_][^/]*)?$"
+LEADERS = r"^[ \t]*(//+|/\*+|\*+/?|#+|--+|;+|<!--)[ \t]*"
+SPDX = r"spdx-license-identifier:[ \t]*([a-z0-9.+-]+)"
+BLANK_LINE = r"\n[ \t\r]*\n"
+SENTENCE_END = r"([.!?])[ \t]+"
 LEAST_COSINE = 0.7
 #: Hundredths of a file's words that notices must be, for it to speak for its directory.
 LEAST_SHARE = 50
@@ -45,33 +33,50 @@ def _lower(text: Column) -> Column:
     return F.lower(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def terms(sentence: Column) -> Column:
-    return F.array_remove(F.split(F.regexp_replace(sentence, "[^a-z0-9]+", " "), " "), "")
+def canonical(text: Column) -> Column:
+    """The terms of a lower-case text, a blank between each two."""
+    return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
+
+
+def n_terms(unit: Column) -> Column:
+    return F.when(unit == "", F.lit(0)).otherwise(F.size(F.split(unit, " "))).cast("long")
+
+
+def units(low: Column) -> Column:
+    """(kind, i, unit) of a lower-case text, in canonical form: 0 sentences by lines, 1 sentences across lines, 2 paragraphs, 3 all paragraphs."""
+    marked = lambda a: F.filter(a, lambda x: x.rlike(MARK))
+    cut = lambda x: F.split(F.regexp_replace(x, SENTENCE_END, "$1\n"), "\n")
+    named = lambda kind, a: F.transform(a, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), canonical(x).alias("unit")))
+    plain = F.regexp_replace(low, "(?md)" + LEADERS, "")
+    paragraphs = marked(F.split(plain, BLANK_LINE))
+    across = marked(F.flatten(F.transform(paragraphs, lambda x: cut(F.replace(x, F.lit("\n"), F.lit(" "))))))
+    return F.concat(named(0, marked(cut(plain))), named(1, across), named(2, paragraphs), named(3, F.array(F.concat_ws(" ", paragraphs))))
 
 
-def sentences(text: Column) -> Column:
-    """The marked sentences of a text in lower case, repeats included."""
-    cut = F.regexp_replace(_lower(text), r"([.!?])[\x20\t]+", "$1\n")
-    return F.filter(F.split(cut, "\n"), lambda x: x.rlike(MARKS))
+def spdx_name(low: Column) -> Column:
+    """The licence that the first SPDX identifier names, null if there is none or it is none of the templates'."""
+    name = F.regexp_replace(F.regexp_extract(low, SPDX, 1), r"(-only|-or-later|\+)$", "")
+    known = sorted({license for license, _ in TEMPLATES})
+    return F.coalesce(*(F.when(name == x.lower(), F.lit(x)) for x in known))
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """found: sentence, n (occurrences), each sentence once. sentence, license, cosine of its best template at LEAST_COSINE or more."""
+    """found: unit, n (occurrences), each unit once. unit, license, cosine of its best template at LEAST_COSINE or more."""
     spark = found.sparkSession
-    made = [(name, i, t) for name, text in TEMPLATES.items() for i, t in enumerate(_plain_terms(text))]
-    template = spark.createDataFrame(made, "license string, i int, term string").groupBy("license", "term").agg(F.count("*").alias("tf"))
-    own = found.select("sentence", "n", F.explode(terms(F.col("sentence"))).alias("term")).groupBy("sentence", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    made = [(t, license, term) for t, (license, text) in enumerate(TEMPLATES) for term in _plain_terms(text)]
+    template = spark.createDataFrame(made, "t int, license string, term string").groupBy("t", "license", "term").agg(F.count("*").alias("tf"))
+    own = found.select("unit", "n", F.explode(F.split("unit", " ")).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
     both = own.groupBy("term").agg(F.sum("n").alias("df")).unionByName(template.groupBy("term").agg(F.count("*").alias("df")))
     total = (found.agg(F.sum("n")).first()[0] or 0) + len(TEMPLATES)
     idf = both.groupBy("term").agg(F.sum("df").alias("df")).select("term", (F.log((1.0 + F.lit(total)) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     weigh = lambda df: df.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     left, right = weigh(own), weigh(template)
-    right = right.join(right.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size")), "license").select("license", "term", (F.col("w") / F.col("size")).alias("v"))
-    sizes = left.groupBy("sentence").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    dots = left.join(F.broadcast(right), "term").groupBy("sentence", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))  # right: the templates' terms
-    scored = dots.join(sizes, "sentence").select("sentence", "license", F.round(F.col("dot") / F.col("size"), 6).alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
-    best = scored.groupBy("sentence").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license"))).alias("m"))
-    return best.select("sentence", "m.license", (-F.col("m.c")).alias("cosine"))
+    right = right.join(right.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size")), "t").select("t", "license", "term", (F.col("w") / F.col("size")).alias("v"))
+    sizes = left.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    dots = left.join(F.broadcast(right), "term").groupBy("unit", "t", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))  # right: the templates' terms
+    scored = dots.join(sizes, "unit").select("unit", "license", F.round(F.col("dot") / F.col("size"), 6).alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
+    best = scored.groupBy("unit").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license"))).alias("m"))
+    return best.select("unit", "m.license", (-F.col("m.c")).alias("cosine"))
 
 
 def _plain_terms(text: str) -> list[str]:
@@ -92,34 +97,43 @@ def _directory(path: Column) -> Column:
 def scan(files: DataFrame) -> DataFrame:
     """files: doc_id, path, text. doc_id, path, own_license, cosine, license, inherited_from, levels for each row.
 
-    own_license is that of the sentence of highest cosine (ties: the least name); license is it or the inherited one,
-    with the directory it comes from and how many levels above the file's own directory that is. Of several files
-    that speak for one directory the one of highest cosine counts, then the least licence name. Null text has no
-    licence; a null path is '', which lies in the root ''. Repeated rows each get their row; other columns are
-    ignored; no rows give no rows.
+    own_license is that of an SPDX identifier, else of the longest unit (in terms) that is like a template, then of
+    highest cosine, then of least name; license is it or the inherited one, with the directory it comes from and how
+    many levels above the file's own directory that is. Of several files that speak for one directory the same order
+    decides. Null text has no licence; a null path is '', which lies in the root ''. Repeated rows each get their row;
+    other columns are ignored; no rows give no rows.
     """
-    rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), F.col("text"))
-    marked = rows.where(_lower(F.col("text")).rlike(MARKS)).select("path", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"), F.size(words_of(F.col("text"))).alias("words"), sentences(F.col("text")).alias("s"))
-    each = stored(marked.select("path", "h", "words", F.posexplode("s").alias("i", "sentence")), "licence-sentences")
-    best = stored(matches(each.groupBy("sentence").agg(F.count("*").alias("n"))), "licence-matches")
-    hits = each.join(best, "sentence").groupBy("path", "h", "i").agg(F.first("words").alias("words"), F.first("license").alias("license"), F.first("cosine").alias("cosine"), F.first(F.size(words_of(F.col("sentence")))).alias("of"))
-    own = hits.groupBy("path", "h").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("m"), F.sum("of").alias("of"), F.first("words").alias("words"))
-    own = stored(own.select("path", "h", F.col("m.license").alias("own_license"), (-F.col("m.c")).alias("cosine"), "of", "words"), "licence-own")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), text.alias("text"))
+    low = rows.select("path", F.xxhash64("text").alias("h"), F.lower("text").alias("low"))
+    speaks_of = F.lit(False)
+    for mark in MARKS:
+        speaks_of = speaks_of | F.contains("low", F.lit(mark))
+    marked = low.where(speaks_of).select("path", "h", n_terms(canonical(F.col("low"))).alias("words"), spdx_name(F.col("low")).alias("spdx"), units(F.col("low")).alias("u"))
+    marked = stored(marked.dropDuplicates(["path", "h"]), "licence-units")
+    each = marked.select("path", "h", "words", F.explode("u").alias("u")).select("path", "h", "words", "u.kind", "u.i", "u.unit").where("unit <> ''")
+    best = stored(matches(each.groupBy("unit").agg(F.count("*").alias("n"))), "licence-matches")
+    hits = each.join(best, "unit").select("path", "h", "words", "kind", "license", "cosine", n_terms(F.col("unit")).alias("of"))
+    named = marked.where("spdx is not null").select("path", "h", "words", F.lit(-1).alias("kind"), F.col("spdx").alias("license"), F.lit(1.0).alias("cosine"), F.lit(0).cast("long").alias("of"))
+    first = F.when(F.col("kind") < 0, F.lit(-(2**31))).otherwise(-F.col("of")).alias("size")
+    by_kind = hits.union(named).groupBy("path", "h", "kind").agg(F.min(F.struct(first, (-F.col("cosine")).alias("c"), "license")).alias("m"), F.sum("of").alias("of"), F.first("words").alias("words"))
+    own = by_kind.groupBy("path", "h").agg(F.min("m").alias("m"), F.max("of").alias("of"), F.first("words").alias("words"))
+    own = stored(own.select("path", "h", "m", F.col("m.license").alias("own_license"), (-F.col("m.c")).alias("cosine"), "of", "words"), "licence-own")
     speaks = (100 * F.col("of") >= LEAST_SHARE * F.col("words")) | F.lower("path").rlike(LICENCE_FILE)
-    declared = own.where(speaks).groupBy(_directory(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "own_license")).alias("m")).select(F.col("dir").alias("above"), F.col("m.own_license").alias("inherited"))
+    declared = own.where(speaks).groupBy(_directory(F.col("path")).alias("dir")).agg(F.min("m").alias("m")).select(F.col("dir").alias("above"), F.col("m.license").alias("inherited"))
     # resolve each directory once, whatever the number of its files
     dirs = rows.select(_directory(F.col("path")).alias("dir")).distinct()
     parts = F.split("dir", "/")
     depth = F.when(F.col("dir") == "", F.lit(0)).otherwise(F.size(parts))
     ups = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), depth), lambda k: F.struct(k.alias("levels"), F.array_join(F.slice(parts, F.lit(1), depth - k), "/").alias("above")))).alias("u")).select("dir", "u.levels", "u.above")
-    near = F.row_number().over(Window.partitionBy("dir").orderBy("levels"))
-    inherits = ups.join(declared, "above").withColumn("r", near).where("r = 1").select("dir", F.col("above").alias("_from"), "levels", "inherited")
-    keyed = rows.select("doc_id", "path", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"), _directory(F.col("path")).alias("dir"))
-    out = keyed.join(own.drop("of", "words"), ["path", "h"], "left").join(inherits, "dir", "left")
+    nearest = F.min(F.struct("levels", F.col("above").alias("from_dir"), "inherited")).alias("near")
+    inherits = stored(ups.join(declared, "above").groupBy("dir").agg(nearest), "licence-dirs").select("dir", "near.*")
+    keyed = rows.select("doc_id", "path", F.xxhash64("text").alias("h"), _directory(F.col("path")).alias("dir")).join(own.select("path", "h", "own_license", "cosine"), ["path", "h"], "left")
+    out = looked_up(keyed, inherits, ["dir"], F.col("h"), "left")  # a directory may hold very many files
     takes = F.col("own_license").isNull() & F.col("inherited").isNotNull()
     return out.select(
         "doc_id", "path", "own_license", "cosine", F.coalesce("own_license", "inherited").alias("license"),
-        F.when(takes, F.col("_from")).alias("inherited_from"), F.when(takes, F.col("levels")).cast("int").alias("levels"),
+        F.when(takes, F.col("from_dir")).alias("inherited_from"), F.when(takes, F.col("levels")).cast("int").alias("levels"),
     )
 
 
@@ -130,37 +144,49 @@ def as_files(docs: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    values = ", ".join(f"('{name}', {i}, '{t}')" for name, text in TEMPLATES.items() for i, t in enumerate(_plain_terms(text)))
-    marks = MARKS.replace("'", "''")
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({t}, {quoted(license)}, {quoted(text)})" for t, (license, text) in enumerate(TEMPLATES))
+    known = ", ".join(f"({quoted(x)})" for x in sorted({license for license, _ in TEMPLATES}))
+    norm = lambda x: f"trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
+    size = lambda x: f"(CASE WHEN {x} = '' THEN 0 ELSE len(string_split({x}, ' ')) END)"
+    cut = lambda x: f"string_split(regexp_replace({x}, '{SENTENCE_END}', '\\1' || chr(10), 'g'), chr(10))"
     return rf"""
-WITH tt AS (SELECT license, term, count(*) AS tf FROM (VALUES {values}) AS v(license, i, term) GROUP BY ALL),
-f AS (SELECT doc_id, concat_ws('/', coalesce(source, ''), coalesce(lang, ''), doc_id) AS path, coalesce(text, '') AS text FROM documents),
-e AS (SELECT doc_id, path, text, unnest(string_split(regexp_replace(lower(text), '([.!?])[\x20\t]+', '\1' || chr(10), 'g'), chr(10))) AS sentence FROM f),
-s AS (SELECT * FROM e WHERE regexp_matches(sentence, '{marks}')),
-u AS (SELECT sentence, count(*) AS n FROM s GROUP BY sentence),
-o AS (SELECT sentence, n, term, count(*) AS tf FROM (SELECT sentence, n, unnest(string_split(regexp_replace(sentence, '[^a-z0-9]+', ' ', 'g'), ' ')) AS term FROM u) WHERE term <> '' GROUP BY ALL),
+WITH tt AS (SELECT t, license, term, count(*) AS tf FROM (SELECT t, license, unnest(string_split({norm("lower(body)")}, ' ')) AS term FROM (VALUES {values}) AS v(t, license, body)) GROUP BY ALL),
+known AS (SELECT * FROM (VALUES {known}) AS k(license)),
+f AS (SELECT doc_id, concat_ws('/', coalesce(source, ''), coalesce(lang, ''), doc_id) AS path, lower(coalesce(text, '')) AS low FROM documents),
+m AS (SELECT *, regexp_replace(low, '(?m){LEADERS}', '', 'g') AS plain FROM f WHERE regexp_matches(low, '{MARK}')),
+p AS (SELECT doc_id, path, low, plain, list_filter(string_split_regex(plain, '{BLANK_LINE}'), lambda x: regexp_matches(x, '{MARK}')) AS ps FROM m),
+e AS (SELECT doc_id, 0 AS kind, unnest({cut("plain")}) AS part FROM p
+      UNION ALL SELECT doc_id, 1, unnest(string_split(regexp_replace(replace(x, chr(10), ' '), '{SENTENCE_END}', '\1' || chr(10), 'g'), chr(10))) FROM (SELECT doc_id, unnest(ps) AS x FROM p)
+      UNION ALL SELECT doc_id, 2, unnest(ps) FROM p
+      UNION ALL SELECT doc_id, 3, array_to_string(ps, ' ') FROM p),
+s AS (SELECT doc_id, kind, {norm("part")} AS unit FROM e WHERE regexp_matches(part, '{MARK}')),
+u AS (SELECT unit, count(*) AS n FROM s WHERE unit <> '' GROUP BY unit),
+o AS (SELECT unit, n, term, count(*) AS tf FROM (SELECT unit, n, unnest(string_split(unit, ' ')) AS term FROM u) GROUP BY ALL),
 d AS (SELECT term, sum(df) AS df FROM (SELECT term, sum(n) AS df FROM o GROUP BY term UNION ALL SELECT term, count(*) AS df FROM tt GROUP BY term) GROUP BY term),
 x AS (SELECT term, ln((1.0 + (SELECT coalesce(sum(n), 0) FROM u) + {len(TEMPLATES)})::DOUBLE / (1.0 + df)::DOUBLE) + 1.0 AS idf FROM d),
-l AS (SELECT sentence, term, tf * idf AS w FROM o JOIN x USING (term)),
-r AS (SELECT license, term, tf * idf AS w FROM tt JOIN x USING (term)),
-ls AS (SELECT sentence, sqrt(sum(w * w)) AS size FROM l GROUP BY sentence),
-rs AS (SELECT license, sqrt(sum(w * w)) AS size FROM r GROUP BY license),
-c AS (SELECT sentence, license, round(sum(l.w * r.w / rs.size) / max(ls.size), 6) AS cosine FROM l JOIN r USING (term) JOIN rs USING (license) JOIN ls USING (sentence) GROUP BY ALL),
-m AS (SELECT sentence, license, cosine FROM c WHERE cosine >= {LEAST_COSINE} QUALIFY row_number() OVER (PARTITION BY sentence ORDER BY cosine DESC, license) = 1),
-h AS (SELECT doc_id, path, text, sentence, license, cosine FROM s JOIN m USING (sentence)),
-w AS (SELECT doc_id, path, arg_min(license, (-cosine, license)) AS own_license, max(cosine) AS cosine,
-             sum(len(list_filter(string_split_regex(sentence, '[\x20\x09-\x0D]+'), lambda z: z <> ''))) AS "of",
-             max(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda z: z <> ''))) AS words FROM h GROUP BY doc_id, path),
-g AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, arg_min(own_license, (-cosine, own_license)) AS inherited FROM w
-      WHERE 100 * "of" >= {LEAST_SHARE} * words OR regexp_matches(lower(path), '{LICENCE_FILE}') GROUP BY ALL),
-p AS (SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir FROM f),
-q AS (SELECT DISTINCT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS levels FROM p),
+l AS (SELECT unit, term, tf * idf AS w FROM o JOIN x USING (term)),
+r AS (SELECT t, license, term, tf * idf AS w FROM tt JOIN x USING (term)),
+ls AS (SELECT unit, sqrt(sum(w * w)) AS size FROM l GROUP BY unit),
+rs AS (SELECT t, sqrt(sum(w * w)) AS size FROM r GROUP BY t),
+c AS (SELECT unit, t, license, round(sum(l.w * r.w / rs.size) / max(ls.size), 6) AS cosine FROM l JOIN r USING (term) JOIN rs USING (t) JOIN ls USING (unit) GROUP BY ALL),
+b AS (SELECT unit, license, cosine FROM c WHERE cosine >= {LEAST_COSINE} QUALIFY row_number() OVER (PARTITION BY unit ORDER BY cosine DESC, license) = 1),
+sp AS (SELECT doc_id, known.license FROM p JOIN known ON lower(known.license) = regexp_replace(regexp_extract(low, '{SPDX}', 1), '(-only|-or-later|\+)$', '')),
+h AS (SELECT doc_id, kind, b.license, b.cosine, {size("unit")}::BIGINT AS "of", -{size("unit")}::BIGINT AS rank FROM s JOIN b USING (unit)
+      UNION ALL SELECT doc_id, -1, license, 1.0, 0, -2147483648 FROM sp),
+w AS (SELECT doc_id, license AS own_license, cosine, rank FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank, cosine DESC, license) = 1),
+n AS (SELECT doc_id, max("of") AS "of" FROM (SELECT doc_id, kind, sum("of") AS "of" FROM h GROUP BY ALL) GROUP BY doc_id),
+g AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, own_license AS inherited FROM w JOIN n USING (doc_id) JOIN p USING (doc_id)
+      WHERE 100 * "of" >= {LEAST_SHARE} * {size(norm("low"))} OR regexp_matches(lower(path), '{LICENCE_FILE}')
+      QUALIFY row_number() OVER (PARTITION BY dir ORDER BY rank, cosine DESC, own_license) = 1),
+pp AS (SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir FROM f),
+q AS (SELECT DISTINCT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS levels FROM pp),
 k AS (SELECT q.dir, q.levels, g.dir AS above, g.inherited FROM q JOIN g ON g.dir = array_to_string(string_split(q.dir, '/')[1 : len(string_split(q.dir, '/')) - levels], '/')
       QUALIFY row_number() OVER (PARTITION BY q.dir ORDER BY q.levels) = 1)
-SELECT p.doc_id, p.path, own_license, cosine, coalesce(own_license, inherited) AS license,
+SELECT pp.doc_id, pp.path, own_license, cosine, coalesce(own_license, inherited) AS license,
        CASE WHEN own_license IS NULL AND inherited IS NOT NULL THEN above END AS inherited_from,
        CASE WHEN own_license IS NULL AND inherited IS NOT NULL THEN levels::INTEGER END AS levels
-FROM p LEFT JOIN w ON w.doc_id = p.doc_id LEFT JOIN k ON k.dir = p.dir
+FROM pp LEFT JOIN w ON w.doc_id = pp.doc_id LEFT JOIN k ON k.dir = pp.dir
 """
 
 

@@ -3,8 +3,8 @@
 Base rules look at one text: its words, symbols, repeated lines, and the words that stand in three-word windows
 found twice or more. The method then hashes normalised lines (lower case, runs of blanks as one, ends trimmed),
 counts the distinct documents of each line in each host, removes lines above the limits, and rejects documents of
-which too little is left. Exact copies of a text within a host count once, so that copying a page does not make
-boilerplate of it; what to do with copies is for the stages that look for them.
+which too little is left. Documents are rows told apart by doc_id and text; with `Limits.by_text` exact copies of a
+text within a host count once, so that copying a page does not make boilerplate of it.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ class Limits:
     max_repeat_share: int = 50
     #: A document goes if fewer than this many hundredths of its words are left.
     least_left: int = 50
+    #: Whether to count distinct texts in place of distinct documents.
+    by_text: bool = False
 
 
 def let(value: Column, body) -> Column:
@@ -78,6 +80,10 @@ def base_stats(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa
     return rows.withColumn("base_failed", failed)
 
 
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
 def _host(docs: DataFrame, column: str = "source") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).alias("host")
 
@@ -90,11 +96,12 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
-    """host, line_hash, n_docs of the lines above the limits."""
+    """host, line_hash, n_docs of the lines above the limits. Repeated rows are one document."""
+    one = ["host", "text_hash"] if limits.by_text else ["host", "doc_id", "text_hash"]
     hashed = F.array_distinct(F.transform(F.filter("l", lambda x: x != ""), lambda x: F.xxhash64(x)))
-    each = _lines(docs).select("host", "text_hash", F.explode(hashed).alias("line_hash")).distinct()
+    each = _lines(docs).select(*one, F.explode(hashed).alias("line_hash")).distinct()
     counts = each.groupBy("host", "line_hash").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= limits.min_docs)
-    hosts = docs.select(_host(docs), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash")).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    hosts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _host(docs), F.xxhash64(_text()).alias("text_hash")).select(*one).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     return counts.join(hosts, "host").where(100 * F.col("n_docs") > limits.max_share * F.col("host_docs")).select("host", "line_hash", "n_docs")
 
 
@@ -109,11 +116,11 @@ def removals(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa:
 
 
 def _verdict(rows: DataFrame, gone: DataFrame, limits: Limits) -> DataFrame:
-    g = gone.select(F.col("doc_id").alias("_d"), F.col("host").alias("_h"), F.col("text_hash").alias("_t"), F.col("places").alias("_places"), F.col("words_removed").alias("_words"))
-    joined = rows.join(g, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("host") == F.col("_h")) & (F.col("text_hash") == F.col("_t")), "left")
-    removed = F.coalesce("_words", F.lit(0))
+    g = gone.select(F.col("doc_id").alias("gone_id"), F.col("host").alias("gone_host"), F.col("text_hash").alias("gone_hash"), "places", F.col("words_removed").alias("gone_words"))
+    joined = rows.join(g, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("host") == F.col("gone_host")) & (F.col("text_hash") == F.col("gone_hash")), "left")
+    removed = F.coalesce("gone_words", F.lit(0))
     left = 100 * (F.col("n_words") - removed) >= limits.least_left * F.col("n_words")
-    return joined.withColumn("words_removed", removed).withColumn("kept", ~F.col("base_failed") & left).drop("_d", "_h", "_t", "_words")
+    return joined.withColumn("words_removed", removed).withColumn("kept", ~F.col("base_failed") & left).drop("gone_id", "gone_host", "gone_hash", "gone_words")
 
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
@@ -122,20 +129,19 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B00
     Null text is a text without words, which fails; a null source is the host ''; null doc_ids stay null. Repeated
     rows each get their row. Rows are told apart by doc_id, host and text. Other columns are ignored.
     """
-    return _verdict(base_stats(docs, limits), removals(docs, limits), limits).drop("_places", "host", "text_hash")
+    return _verdict(base_stats(docs, limits), removals(docs, limits), limits).drop("places", "host", "text_hash")
 
 
 def clean(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
-    """The documents that are kept, with their columns, their text without the lines above the limits."""
-    rows = base_stats(docs, limits)
-    keys = _verdict(rows, removals(docs, limits), limits).where("not kept or _places is not null")
-    keys = keys.groupBy("doc_id", "host", "text_hash").agg(F.first("kept").alias("_kept"), F.first("_places").alias("_places"))
-    k = keys.select(F.col("doc_id").alias("_d"), F.col("host").alias("_h"), F.col("text_hash").alias("_t"), "_kept", "_places")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(k, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (_host(docs) == F.col("_h")) & (F.xxhash64(text) == F.col("_t")), "left")
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("_places"), i)), "\n")
-    out = joined.where(F.coalesce("_kept", F.lit(True))).withColumn("text", F.when(F.col("_places").isNull(), F.col("text")).otherwise(rest))
-    return out.select(*docs.columns)
+    """The documents that are kept, with all their columns, their text without the lines above the limits."""
+    verdict = _verdict(base_stats(docs, limits), removals(docs, limits), limits).where("not kept or places is not null")
+    k = verdict.groupBy("doc_id", "host", "text_hash").agg(F.first("kept").alias("kept"), F.first("places").alias("places")).toDF("key_id", "key_host", "key_hash", "kept", "places")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _host(docs), F.xxhash64(_text()).alias("text_hash"))
+    joined = rows.join(k, F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("host") == F.col("key_host")) & (F.col("text_hash") == F.col("key_hash")), "left")
+    text = F.col("row.text").cast("string")
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("places"), i)), "\n")
+    out = joined.where(F.coalesce("kept", F.lit(True))).select(F.col("row").withField("text", F.when(F.col("places").isNull(), text).otherwise(rest)).alias("row"))
+    return out.select("row.*")
 
 
 SQL = r"""
@@ -152,8 +158,8 @@ b AS (SELECT w.doc_id, host, text, len(w)::BIGINT AS n_words, length(array_to_st
 s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
 e AS (SELECT doc_id, host, text, unnest(string_split(regexp_replace(lower(text), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))) AS line FROM d),
 t AS (SELECT doc_id, host, text, trim(line, ' ') AS line FROM e WHERE trim(line, ' ') <> ''),
-h AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY host),
-c AS (SELECT t.host, t.line FROM t JOIN h USING (host) GROUP BY t.host, t.line HAVING count(DISTINCT t.text) >= 5 AND 100 * count(DISTINCT t.text) > 2 * max(h.n)),
+h AS (SELECT host, count(DISTINCT doc_id) AS n FROM d GROUP BY host),
+c AS (SELECT t.host, t.line FROM t JOIN h USING (host) GROUP BY t.host, t.line HAVING count(DISTINCT t.doc_id) >= 5 AND 100 * count(DISTINCT t.doc_id) > 2 * max(h.n)),
 x AS (SELECT doc_id, sum(length(line) - length(replace(line, ' ', '')) + 1)::BIGINT AS n FROM t JOIN c USING (host, line) GROUP BY doc_id)
 SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(x.n, 0)::BIGINT AS words_removed,
        NOT base_failed AND 100 * (n_words - coalesce(x.n, 0)) >= 50 * n_words AS kept

@@ -12,10 +12,11 @@ def plain_judge(rows, lim=linefreq.Limits()):  # noqa: B008
     """rows: (doc_id, text, source). Verdicts in the rows' order."""
     norm = lambda x: re.sub("[ \t\x0b-\r]+", " ", x).strip(" ")
     hosts, lines = {}, {}
-    for _, t, s in rows:
-        hosts.setdefault(s or "", set()).add(t or "")
+    for i, t, s in rows:
+        one = t or "" if lim.by_text else (i, t or "")
+        hosts.setdefault(s or "", set()).add(one)
         for x in {norm(x) for x in (t or "").lower().split("\n")} - {""}:
-            lines.setdefault((s or "", x), set()).add(t or "")
+            lines.setdefault((s or "", x), set()).add(one)
     often = {k for k, v in lines.items() if len(v) >= lim.min_docs and 100 * len(v) > lim.max_share * len(hosts[k[0]])}
     out = []
     for i, t, s in rows:
@@ -48,11 +49,18 @@ def test_verdicts_on_odd_texts_and_boilerplate(spark, make_docs, odd_texts):
     rows = [(i, t, "s") for i, t in enumerate(odd_texts)]
     rows += [(100 + i, f"Shared  LINE here\n{body} {i}\nshared line here ", "h") for i in range(30)]
     rows += [(200 + i, "copied line of many copies\n" + body, "h") for i in range(40)]
-    rows += [(300 + i, ("boiler plate number one " * 9 + "\n") * 1 + f"own words {i}", "h") for i in range(20)]
+    rows += [(250 + i, f"{body} {i} of a kind " + "own " * 30, "h") for i in range(900)]
+    rows += [(2000 + i, ("boiler plate number one " * 9 + "\n") * 1 + f"own words {i}", "h") for i in range(20)]
     rows += [(None, body, None), (None, body, None), (7, "dup", "s"), (7, "dup", "s")]
+    from pyspark.sql import functions as F
+
     docs = make_docs(rows, extra=True)
+    for c in ("_d", "_h", "_t", "_places", "_kept", "places", "key_id", "host", "text_hash"):
+        docs = docs.withColumn(c, F.lit("z"))
     want = plain_judge(rows)
     assert as_rows(linefreq.judge(docs)) == sorted(want, key=repr)
+    texts = linefreq.Limits(by_text=True)
+    assert as_rows(linefreq.judge(docs, texts)) == sorted(plain_judge(rows, texts), key=repr) != sorted(want, key=repr)
     assert any(x[7] and x[8] for x in want)  # a line went, the document stayed
     kept = linefreq.clean(docs)
     assert kept.columns == docs.columns
@@ -90,3 +98,44 @@ def test_quality_without_labels(spark, make_docs):
     got = rulefit.score_quality(make_docs([(1, "a", "s"), (None, None, "s"), (1, "a", "s")], extra=True), labels).collect()
     assert len(got) == 3 and {r.score for r in got} == {0.5}
     assert rulefit.score_quality(make_docs([]), labels).count() == 0
+
+
+def test_trees_cut_where_the_gain_is_greatest():
+    """Each cut of a tree is the best of all that its node could make, by trying them all."""
+    rng = np.random.default_rng(3)
+    x = rng.random((200, 3))
+    y = (x[:, 1] > 0.6).astype(float) * 0.9 + 0.05 * (x[:, 0] > 0.5) - 0.5
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, rulefit.BINS + 1)[1:-1], method="lower")) for j in range(3)]
+    bins = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
+    hess = np.full(200, 0.25)
+    rules, out = rulefit._grow(bins, cuts, y, hess, np.random.default_rng(0))
+
+    def gain(at, j, t):
+        low = at & (x[:, j] <= t)
+        high = at & ~low
+        if low.sum() < rulefit.LEAST_LEAF or high.sum() < rulefit.LEAST_LEAF:
+            return -1.0
+        return sum(y[m].sum() ** 2 / (hess[m].sum() + 1) for m in (low, high)) - y[at].sum() ** 2 / (hess[at].sum() + 1)
+
+    tried = {j for r in rules for j, _, _ in r}
+    for rule in rules:
+        at = rulefit._holds(rule[:-1], x) if len(rule) > 1 else np.ones(200, dtype=bool)
+        j, _, t = rule[-1]
+        best = max(gain(at, k, c) for k in range(3) for c in cuts[k])
+        assert abs(gain(at, j, t) - best) < 1e-9
+    assert tried and np.isfinite(out).all()
+
+
+def test_lasso_weights_are_optimal():
+    """At the weights found no rule's gradient exceeds the penalty, and for those in use it equals it (standardised rules)."""
+    rng = np.random.default_rng(5)
+    x = rng.random((800, len(rulefit.STATS)))
+    y = ((x[:, 2] > 0.5) ^ (rng.random(800) < 0.1)).astype(float)
+    model = rulefit.fit_rules(x, y)
+    p = model.score(x)
+    assert abs((y - p).mean()) < 5e-3
+    for rule, w in zip(model.rules, model.weights, strict=True):
+        held = rulefit._holds(rule, x).astype(float)
+        scale = max(held.std(), 0.05)
+        slope = ((held - held.mean()) / scale) @ (y - p) / len(y)
+        assert abs(slope - np.sign(w) * rulefit.PENALTY) < 1e-3

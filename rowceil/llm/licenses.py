@@ -61,22 +61,25 @@ def spdx_name(low: Column) -> Column:
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """found: unit, n (occurrences), each unit once. unit, license, cosine of its best template at LEAST_COSINE or more."""
+    """found: u1, u2 (a unit's name), unit, n (occurrences), each once. u1, u2, license, cosine of its best template at
+    LEAST_COSINE or more. Units are long, so only their names go along with their terms."""
+    name = ["u1", "u2"]
     spark = found.sparkSession
     made = [(t, license, term) for t, (license, text) in enumerate(TEMPLATES) for term in _plain_terms(text)]
     template = spark.createDataFrame(made, "t int, license string, term string").groupBy("t", "license", "term").agg(F.count("*").alias("tf"))
-    own = found.select("unit", "n", F.explode(F.split("unit", " ")).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    own = found.select(*name, "n", F.explode(F.split("unit", " ")).alias("term")).groupBy(*name, "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    own = stored(own, "licence-terms")
     both = own.groupBy("term").agg(F.sum("n").alias("df")).unionByName(template.groupBy("term").agg(F.count("*").alias("df")))
     total = (found.agg(F.sum("n")).first()[0] or 0) + len(TEMPLATES)
     idf = both.groupBy("term").agg(F.sum("df").alias("df")).select("term", (F.log((1.0 + F.lit(total)) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     weigh = lambda df: df.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     left, right = weigh(own), weigh(template)
     right = right.join(right.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size")), "t").select("t", "license", "term", (F.col("w") / F.col("size")).alias("v"))
-    sizes = left.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    dots = left.join(F.broadcast(right), "term").groupBy("unit", "t", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))  # right: the templates' terms
-    scored = dots.join(sizes, "unit").select("unit", "license", F.round(F.col("dot") / F.col("size"), 6).alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
-    best = scored.groupBy("unit").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license"))).alias("m"))
-    return best.select("unit", "m.license", (-F.col("m.c")).alias("cosine"))
+    sizes = left.groupBy(*name).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    dots = left.join(F.broadcast(right), "term").groupBy(*name, "t", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))  # right: the templates' terms
+    scored = dots.join(sizes, name).select(*name, "license", F.round(F.col("dot") / F.col("size"), 6).alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
+    best = scored.groupBy(*name).agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license"))).alias("m"))
+    return best.select(*name, "m.license", (-F.col("m.c")).alias("cosine"))
 
 
 def _plain_terms(text: str) -> list[str]:
@@ -111,9 +114,10 @@ def scan(files: DataFrame) -> DataFrame:
         speaks_of = speaks_of | F.contains("low", F.lit(mark))
     marked = low.where(speaks_of).select("path", "h", n_terms(canonical(F.col("low"))).alias("words"), spdx_name(F.col("low")).alias("spdx"), units(F.col("low")).alias("u"))
     marked = stored(marked.dropDuplicates(["path", "h"]), "licence-units")
-    each = marked.select("path", "h", "words", F.explode("u").alias("u")).select("path", "h", "words", "u.kind", "u.i", "u.unit").where("unit <> ''")
-    best = stored(matches(each.groupBy("unit").agg(F.count("*").alias("n"))), "licence-matches")
-    hits = each.join(best, "unit").select("path", "h", "words", "kind", "license", "cosine", n_terms(F.col("unit")).alias("of"))
+    each = marked.select("path", "h", "words", F.explode("u").alias("u")).select("path", "h", "words", "u.kind", "u.unit").where("unit <> ''")
+    each = stored(each.withColumns({"u1": F.xxhash64("unit"), "u2": F.xxhash64(F.lit(1), "unit"), "of": n_terms(F.col("unit"))}), "licence-each")
+    best = stored(matches(each.groupBy("u1", "u2").agg(F.first("unit").alias("unit"), F.count("*").alias("n"))), "licence-matches")
+    hits = each.join(best, ["u1", "u2"]).select("path", "h", "words", "kind", "license", "cosine", "of")
     named = marked.where("spdx is not null").select("path", "h", "words", F.lit(-1).alias("kind"), F.col("spdx").alias("license"), F.lit(1.0).alias("cosine"), F.lit(0).cast("long").alias("of"))
     first = F.when(F.col("kind") < 0, F.lit(-(2**31))).otherwise(-F.col("of")).alias("size")
     by_kind = hits.union(named).groupBy("path", "h", "kind").agg(F.min(F.struct(first, (-F.col("cosine")).alias("c"), "license")).alias("m"), F.sum("of").alias("of"), F.first("words").alias("words"))

@@ -8,6 +8,7 @@ import struct
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 
@@ -123,3 +124,28 @@ class BloomFilter:
 
     def __reduce__(self):
         return BloomFilter.from_bytes, (self.to_bytes(),)
+
+
+def build(df, column: str, capacity: int, error_rate: float = 0.01) -> BloomFilter:
+    """A filter of a column's values (nulls left out): each task fills one of the same size, and the driver unites them."""
+
+    def fill(batches):
+        own = BloomFilter(capacity, error_rate)
+        for b in batches:
+            own.update(x for x in b.column(0).to_pylist() if x is not None)
+        yield pa.RecordBatch.from_arrays([pa.array([own.to_bytes()], pa.binary())], ["filter"])
+
+    out = BloomFilter(capacity, error_rate)
+    for (raw,) in df.select(column).mapInArrow(fill, "filter binary").collect():
+        out.union(BloomFilter.from_bytes(bytes(raw)))
+    return out
+
+
+def members(df, column: str, known: BloomFilter):
+    """The rows of df whose value the filter seems to hold; nulls never."""
+
+    def test(batches):
+        for b in batches:
+            yield b.filter(pa.array([x is not None and x in known for x in b.column(column).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(test, df.schema)

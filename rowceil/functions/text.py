@@ -57,3 +57,8 @@ def hash_sample(key: Column, share: float, parts: int = 10_000) -> Column:
 def epoch_offset(ts: Column, start: str = "2010-07-19 00:00:00") -> Column:
     """Seconds since start."""
     return F.unix_timestamp(ts.cast("timestamp")) - F.unix_timestamp(F.lit(start).cast("timestamp"))
+
+
+def stripped(text: Column) -> Column:
+    """Without the white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.factors import Factor
 from ..plans.query import Predicate
@@ -122,13 +123,34 @@ def contingency(df: DataFrame, child: str, parents: Sequence[str] = ()) -> DataF
     return df.groupBy(child, *parents).agg(F.count("*").alias("n"))
 
 
+#: The most states of a child that a smoothed table may have.
+STATES = 10_000
+
+
 def conditional_table(df: DataFrame, child: str, parent: str, prior: float = 0.0) -> DataFrame:
-    """child, parent, p: the chance of child given parent; with `prior` added to every combination that occurs."""
+    """child, parent, p: the chance of child given parent. With `prior` every child state has a row under every parent
+    value, and so much added to its count, also where the two do not occur together."""
     counts = contingency(df, child, [parent])
+    if prior:
+        states = [r[0] for r in counts.select(child).distinct().limit(STATES + 1).collect()]
+        if len(states) > STATES:
+            raise ValueError(f"{child} has more than {STATES} states")
+        listed = counts.sparkSession.createDataFrame([(x,) for x in states], StructType([counts.schema[child]])).agg(F.collect_list(F.struct(child)).alias("_states"))  # one row
+        grid = counts.select(F.col(parent).alias("_p")).distinct().join(F.broadcast(listed)).select("_p", F.explode("_states").alias("_c")).select("_p", F.col(f"_c.{child}").alias("_c"))
+        found = grid.join(counts, F.col("_p").eqNullSafe(F.col(parent)) & F.col("_c").eqNullSafe(F.col(child)), "left")
+        counts = found.select(F.col("_c").alias(child), F.col("_p").alias(parent), F.coalesce("n", F.lit(0)).alias("n"))
     sums = counts.groupBy(F.col(parent).alias("_p")).agg(F.sum(F.col("n") + prior).alias("_s"))
     return counts.join(sums, F.col(parent).eqNullSafe(F.col("_p"))).select(child, parent, ((F.col("n") + prior) / F.col("_s")).alias("p"))
 
 
+def covariances(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """a, b, cov, r for every two columns, in one aggregation."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    row = df.agg(*(x.alias(f"{kind}{i}") for i, (a, b) in enumerate(pairs) for kind, x in (("cov", F.covar_samp(a, b)), ("r", F.corr(a, b)))))
+    made = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"cov{i}").alias("cov"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)))
+    return row.select(F.explode(made).alias("x")).select("x.*")
+
+
 def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     """mi, in nats, of two columns (nulls are a value)."""
     both = contingency(df, a, [b])

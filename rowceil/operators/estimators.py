@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import hash_sample
 from ..plans.query import Query
@@ -14,9 +15,15 @@ from .exact import alias_rows, count, joined, matched
 
 
 def optimizer_estimate(df: DataFrame) -> int | None:
-    """Rows that Spark's optimizer expects; None where it has no row count."""
-    rows = df._jdf.queryExecution().optimizedPlan().stats().rowCount()
-    return int(str(rows.get())) if rows.isDefined() else None
+    """Rows that Spark's optimizer expects from the statistics of saved tables; None where it has no row count."""
+    conf, name = df.sparkSession.conf, "spark.sql.cbo.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        rows = df.select("*")._jdf.queryExecution().optimizedPlan().stats().rowCount()
+        return int(str(rows.get())) if rows.isDefined() else None
+    finally:
+        conf.set(name, before)
 
 
 def analyze(spark, table: str, columns: Sequence[str]) -> None:
@@ -42,6 +49,11 @@ def count_within(tables: Mapping[str, DataFrame], q: Query, seconds: float, othe
         spark.sparkContext.removeJobTag(tag)
 
 
+def subquery_sizes(tables: Mapping[str, DataFrame], q: Query, seconds: float, bound_of: Callable[[Query], float]) -> list[tuple[str, float, bool]]:
+    """For every connected set of two or more aliases: their names, the exact size, or a bound where counting takes too long, and whether it is exact."""
+    return [(",".join(sorted(sub.tables)), *count_within(tables, sub, seconds, bound_of(sub))) for sub in q.subqueries()]
+
+
 def sampled_estimate(tables: Mapping[str, DataFrame], q: Query, share: float, column: Mapping[str, str], full_size: float) -> float:
     """Selectivity of each alias's predicates on a hash sample (of the named column) times the size of the join without predicates."""
     out = full_size
@@ -88,6 +100,18 @@ def q_errors(results: DataFrame) -> DataFrame:
     return rated.groupBy("method").agg(*(F.round(F.percentile("q", F.lit(p)), 6).alias(f"q{int(100 * p):02d}") for p in (0.05, 0.5, 0.95)))
 
 
+def runtime_summary(results: DataFrame) -> DataFrame:
+    """results: method, seconds. method, runs, total, mean, and share of the total of the slowest method."""
+    sums = results.groupBy("method").agg(F.count("*").alias("runs"), F.sum("seconds").alias("total"), F.avg("seconds").alias("mean"))
+    most = sums.agg(F.max("total").alias("_most"))  # one row
+    return sums.join(F.broadcast(most)).withColumn("share", F.col("total") / F.col("_most")).drop("_most")
+
+
+def runtime_ranks(results: DataFrame) -> DataFrame:
+    """results: query, method, seconds. Each with its rank among the query's methods, the fastest first; ties by method."""
+    return results.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("seconds", "method")))
+
+
 def violations(results: DataFrame) -> DataFrame:
     """Results whose bound is below the truth; there must be none."""
     return results.where(F.col("estimate") * (1 + 1e-9) < F.col("truth"))

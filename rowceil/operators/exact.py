@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..model import ForeignKey
 from ..plans.query import AnyOf, Predicate, Query
 
 Tables = Mapping[str, DataFrame]
@@ -88,7 +90,11 @@ def joined(tables: Tables, q: Query, out: Sequence[tuple[str, str]] = (), order:
 
 
 def count(tables: Tables, q: Query, order: Sequence[str] | None = None, broadcast: Sequence[str] = ()) -> int:
-    return joined(tables, q, order=order, broadcast=broadcast).count()
+    """Rows of the join; parts that no join connects are counted each and multiplied."""
+    parts = q.parts()
+    if len(parts) < 2:
+        return joined(tables, q, order=order, broadcast=broadcast).count()
+    return math.prod(joined(tables, q.restricted(part), order=[a for a in order if a in part] if order else None, broadcast=broadcast).count() for part in parts)
 
 
 # --- degree sequences
@@ -162,6 +168,35 @@ def full_outer(fk_rows: DataFrame, fk_column: str, key_rows: DataFrame, key_colu
     return fk_rows.join(key_rows, F.col(fk_column) == F.col(key_column), "full_outer")
 
 
+def full_outer_tree(tables: Tables, keys: Sequence[ForeignKey], root: str, columns: Mapping[str, Sequence[str]]) -> DataFrame:
+    """The FULL OUTER join of root (a key table) with all tables that refer to it, and on down the tree of foreign keys."""
+    df = tables[root].select(*columns[root])
+    seen = {root}
+    while more := [fk for fk in keys if fk.key_table in seen and fk.table not in seen]:
+        fk = more[0]
+        df = df.join(tables[fk.table].select(*columns[fk.table]), F.col(fk.column) == F.col(fk.key_column), "full_outer")
+        seen.add(fk.table)
+    return df
+
+
+def full_join_size(tables: Tables, keys: Sequence[ForeignKey], root: str) -> int:
+    """Rows of that join, from measured fan-outs: a row counts as often as its partners below do, at least once, and rows that refer to nothing count too. No join result is made."""
+
+    def weighted(table: str) -> tuple[DataFrame, int]:
+        """Rows of a table with w, how many rows of the join each makes; and rows of the join that hold none of the table."""
+        df, orphans = tables[table].withColumn("w", F.lit(1).cast("long")), 0
+        for fk in (fk for fk in keys if fk.key_table == table):
+            below, lost = weighted(fk.table)
+            orphans += lost
+            sums = below.groupBy(F.col(fk.column).alias("below_key")).agg(F.sum("w").alias("below_w"))
+            orphans += sums.join(tables[table].select(fk.key_column), F.col("below_key") == F.col(fk.key_column), "left_anti").agg(F.sum("below_w")).first()[0] or 0
+            df = df.join(sums, F.col(fk.key_column) == F.col("below_key"), "left").withColumn("w", F.col("w") * F.coalesce("below_w", F.lit(1))).drop("below_key", "below_w")
+        return df, orphans
+
+    df, orphans = weighted(root)
+    return int((df.agg(F.sum("w")).first()[0] or 0) + orphans)
+
+
 def unmatched(rows: DataFrame, column: str, others: DataFrame, other_column: str) -> DataFrame:
     """Rows without a join partner."""
     return rows.join(others.select(F.col(other_column).alias("_k")), F.col(column) == F.col("_k"), "left_anti")
@@ -174,20 +209,34 @@ def matched(rows: DataFrame, column: str, others: DataFrame, other_column: str)
 def distributed_ranks(df: DataFrame, column: str, parts: int | None = None) -> DataFrame:
     """value, n, last: each value, how often it occurs, and the rank of its last occurrence in the whole order.
 
-    Values are counted, range-partitioned and summed within partitions; only one total for each partition reaches
-    the driver, so no task holds the whole order.
+    Values are counted, range-partitioned and summed within partitions, so no task holds the whole order; the
+    partitions' totals, one row each, are summed by a window and joined. Which value lies in which partition is kept in
+    files where spark.checkpoint.dir names a shared folder, so a lost executor can't change it; else in the cache.
     """
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    placed = counts.repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id()).persist()
-    totals = {r["part"]: r["sum(n)"] for r in placed.groupBy("part").agg(F.sum("n")).collect()}
-    before, at = F.lit(0).cast("long"), 0
-    for p in sorted(totals):
-        before = F.when(F.col("part") == p, F.lit(at)).otherwise(before)
-        at += totals[p]
-    w = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed.select("value", "n", (before + F.sum("n").over(w)).alias("last"))
+    placed = _kept(counts.repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id()))
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each partition
+    totals = placed.groupBy("part").agg(F.sum("n").alias("total")).select("part", (F.sum("total").over(w) - F.col("total")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return placed.withColumn("within", within).join(F.broadcast(totals), "part").select("value", "n", (F.col("before") + F.col("within")).alias("last"))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return df.checkpoint(eager=True)
+    return df.persist()
+
+
+def distinct_edges(df: DataFrame, column: str, bins: int) -> DataFrame:
+    """edge: all different values if there are no more than bins; else the different quantile edges, and the most common other values (ties: the least) up to bins."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("edge")).agg(F.count("*").alias("n"))
+    if counts.limit(bins + 1).count() <= bins:
+        return counts.select("edge")
+    edges = F.broadcast(quantile_edges(df, column, bins).select("edge").distinct())  # bins rows at most
+    more = counts.join(edges, "edge", "left_anti").orderBy(F.desc("n"), "edge").limit(max(0, bins - edges.count()))
+    return edges.union(more.select("edge"))
 
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> DataFrame:

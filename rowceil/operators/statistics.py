@@ -1,9 +1,10 @@
 """Building statistics: degree functions of join columns, of all rows and of the rows that a filter value selects.
 
-One plan serves every kind of condition. Rows of a table are counted by (join column, key, filter value) in one
-shuffle; values are mapped to the buckets they belong to (a common value, the intervals of a dyadic histogram, common
-substrings, null or not null), counts are rolled up by bucket, and each bucket's degrees become runs. A grouped
-function turns the runs of one bucket into a step function of at most 100 segments, and only these reach the driver.
+One plan serves every kind of condition and all filter columns of a table, or all that one foreign key reaches, with one
+join for the key. Rows are counted by (filter column, join column, key, filter value) in one shuffle; values are mapped
+to the buckets they belong to (a common value, the intervals of a dyadic histogram, common substrings, null or not
+null), counts are rolled up by bucket, and each bucket's degrees become runs. A grouped function turns the runs of one
+bucket into a step function of at most 100 segments, and only these reach the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.step import ZERO, Step, cluster, compress, maximum, minimum, total
@@ -44,7 +44,7 @@ class Options:
     linkage: str = "complete"
     #: Values (of least hash) from which interval edges are taken; edges steer tightness, never safety.
     edge_sample: int = 20_000
-    #: Filter columns that are worked on at a time.
+    #: Tables and foreign keys that are worked on at a time.
     jobs: int = 8
 
 
@@ -217,9 +217,7 @@ def bucket_runs(counts: DataFrame) -> DataFrame:
 
 def rank_maximum(counts: DataFrame, value: str) -> DataFrame:
     """counts: column, key, n and a value. column, d, n: runs of the sequence whose r-th degree is the largest r-th degree of any value."""
-    sums = counts.groupBy("column", value, "key").agg(F.sum("n").alias("c"))
-    ranked = sums.withColumn("r", F.row_number().over(Window.partitionBy("column", value).orderBy(F.desc("c"), "key")))
-    return ranked.groupBy("column", "r").agg(F.max("c").alias("d")).groupBy("column", "d").agg(F.count("*").alias("n"))
+    return bucket_rank_maximum(counts.select(F.lit("").alias("bucket"), "column", "key", F.col(value).alias("value"), "n")).select("column", "d", "n")
 
 
 def common_values(rows: DataFrame, column: str, most: int) -> DataFrame:
@@ -228,8 +226,9 @@ def common_values(rows: DataFrame, column: str, most: int) -> DataFrame:
 
 
 def base_bucket(value, edges: list):
-    """Number of edges below the value."""
-    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < value)) if edges else F.lit(0)
+    """Number of edges below the value; dates and times as literals of the session's time zone."""
+    of = lambda e: F.lit(str(e)).cast("timestamp" if isinstance(e, datetime.datetime) else "date") if isinstance(e, datetime.date) else F.lit(e)
+    return F.size(F.filter(F.array(*map(of, edges)), lambda e: e < value)) if edges else F.lit(0)
 
 
 def interval_names(base, levels: int):
@@ -249,35 +248,96 @@ def interval_ends(name: str, edges: list) -> tuple:
     return (edges[first - 1] if 0 < first else None, edges[last - 1] if last <= len(edges) else None)
 
 
-def conditioned_runs(counts: DataFrame, kind: str, common: list, edges: list, top_grams: list[str] | None, options: Options) -> DataFrame:
-    """bucket, column, d, n over every kind of bucket."""
-    base = counts.where("f is not null")
-    out = [base.select(F.lit("not null").alias("bucket"), "column", "key", "n")]
+def as_text(df: DataFrame, column: str):
+    """A column's values as strings that are equal where the values are, and in which `parsed` finds them again."""
+    kind, c = df.schema[column].dataType.simpleString(), F.col(column)
+    if kind in ("float", "double"):
+        c = c.cast("double") + F.lit(0.0)  # one zero
+    elif kind.startswith("decimal"):
+        c = c.cast("double")
+    return c.cast("string")
+
+
+def typed(kind: str) -> str:
+    """The type in which values of a kind are compared."""
+    return "double" if kind == "float" or kind.startswith("decimal") else kind
+
+
+def parsed(text: str | None, kind: str):
+    """The value that `as_text` has made a string of."""
+    if text is None or kind == "string":
+        return text
+    if kind.startswith("timestamp"):
+        return datetime.datetime.fromisoformat(text)
+    if kind == "date":
+        return datetime.date.fromisoformat(text)
+    if kind == "boolean":
+        return text == "true"
+    return float(text) if typed(kind) == "double" else int(text)
+
+
+def column_counts(rows: DataFrame, join_columns: tuple[str, ...], filters: tuple[str, ...]) -> DataFrame:
+    """i, column, key, f, n: rows for each key of each join column and each value (as text) of the i-th filter column."""
+    values = F.array(*(F.struct(F.lit(i).alias("i"), as_text(rows, c).alias("f")) for i, c in enumerate(filters)))
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("key")) for c in join_columns]
+    pairs.append(F.struct(F.lit(ROWS).alias("column"), F.lit(ROWS).alias("key")))
+    each = rows.select(values.alias("v"), F.explode(F.array(*pairs)).alias("p")).where("p.key is not null").select("p.column", "p.key", F.explode("v").alias("v"))
+    return each.groupBy("v.i", "column", "key", "v.f").agg(F.count("*").alias("n"))
+
+
+def _listed(spark: SparkSession, lists: list[list[str]]) -> DataFrame:
+    """i, v, at: the values listed for each filter column, and their places; Options bound how many they are."""
+    made = [(i, v, at) for i, values in enumerate(lists) for at, v in enumerate(values)]
+    return F.broadcast(spark.createDataFrame(made, "i int, v string, at int"))
+
+
+def _name(kind: str, *more):
+    return F.concat_ws(" ", F.col("i").cast("string"), F.lit(kind), *more)
+
+
+def conditioned_runs(counts: DataFrame, kinds: list[str], common: list[list[str]], edges: list[list], top_grams: list[list[str]], options: Options) -> DataFrame:
+    """bucket, column, d, n over every kind of bucket; a bucket's name begins with the number of the filter column."""
+    spark, base = counts.sparkSession, counts.where("f is not null")
+    out = [base.select(_name("not null").alias("bucket"), "column", "key", "n")]
     if options.track_nulls:
-        out.append(counts.where("f is null").select(F.lit("null").alias("bucket"), "column", "key", "n"))
-    levels = max(1, math.ceil(math.log2(len(edges) + 1))) if edges else 0
-    if levels:
-        rolled = base.withColumn("b", base_bucket(F.col("f"), edges)).groupBy("column", "key", "b").agg(F.sum("n").alias("n"))
-        out.append(rolled.select(F.explode(interval_names(F.col("b"), levels)).alias("i"), "column", "key", "n").select(F.concat(F.lit("interval "), "i").alias("bucket"), "column", "key", "n"))
-    spark = counts.sparkSession
-    kind_of = counts.schema["f"].dataType
-    listed = F.broadcast(spark.createDataFrame(list(zip(common, range(len(common)), strict=True)), StructType([StructField("v", kind_of), StructField("i", LongType())])))  # options.common_values rows at most
-    mine = base.join(listed, F.col("f") == F.col("v"))
-    out.append(mine.select(F.concat(F.lit("value "), F.col("i").cast("string")).alias("bucket"), "column", "key", "n"))
-    if top_grams is not None:
-        each = base.withColumn("g", F.explode(grams(F.col("f"))))
-        gl = F.broadcast(spark.createDataFrame(list(zip(top_grams, range(len(top_grams)), strict=True)), "v string, i long"))
-        out.append(each.join(gl, F.col("g") == F.col("v")).select(F.concat(F.lit("gram "), F.col("i").cast("string")).alias("bucket"), "column", "key", "n"))
+        out.append(counts.where("f is null").select(_name("null").alias("bucket"), "column", "key", "n"))
+    bucket, names = F.lit(None).cast("int"), F.lit(None).cast("array<string>")
+    for i, (kind, own) in enumerate(zip(kinds, edges, strict=True)):
+        if own:
+            levels = max(1, math.ceil(math.log2(len(own) + 1)))
+            bucket = F.when(F.col("i") == i, base_bucket(F.col("f").cast(typed(kind)), own)).otherwise(bucket)
+            names = F.when(F.col("i") == i, interval_names(F.col("b"), levels)).otherwise(names)
+    rolled = base.withColumn("b", bucket).where("b is not null").groupBy("i", "column", "key", "b").agg(F.sum("n").alias("n"))
+    out.append(rolled.withColumn("interval", F.explode(names)).select(_name("interval", F.col("interval")).alias("bucket"), "column", "key", "n"))
+    hit = base.join(_listed(spark, common).withColumnRenamed("v", "f"), ["i", "f"], "left")
+    out.append(hit.where("at is not null").select(_name("value", F.col("at").cast("string")).alias("bucket"), "column", "key", "n"))
     every = out[0]
     for x in out[1:]:
         every = every.union(x)
-    runs = bucket_runs(every)
-    rest = base.join(listed, F.col("f") == F.col("v"), "left_anti")
-    runs = runs.union(rank_maximum(rest, "f").select(F.lit("rest"), "column", "d", "n"))
-    if top_grams is not None:
-        rare = each.join(gl, F.col("g") == F.col("v"), "left_anti")
-        runs = runs.union(rank_maximum(rare, "g").select(F.lit("gram rest"), "column", "d", "n"))
-    return runs
+    runs_of = [hit.where("at is null").select(_name("rest").alias("bucket"), "column", "key", F.col("f").alias("value"), "n")]
+    texts = [i for i, kind in enumerate(kinds) if kind == "string"]
+    if options.track_grams and texts:
+        each = base.where(F.col("i").isin(*texts)).select("i", "column", "key", "n", F.explode(grams(F.col("f"))).alias("v")).join(_listed(spark, top_grams), ["i", "v"], "left")
+        every = every.union(each.where("at is not null").select(_name("gram", F.col("at").cast("string")).alias("bucket"), "column", "key", "n"))
+        runs_of.append(each.where("at is null").select(_name("gram rest").alias("bucket"), "column", "key", F.col("v").alias("value"), "n"))
+    rare = runs_of[0] if len(runs_of) == 1 else runs_of[0].union(runs_of[1])
+    return bucket_runs(every).union(bucket_rank_maximum(rare))
+
+
+def bucket_rank_maximum(counts: DataFrame) -> DataFrame:
+    """counts: bucket, column, key, value, n. bucket, column, d, n: runs of the sequence whose r-th degree is the largest r-th degree of any value of the bucket.
+
+    Of a value's keys only runs of equal degree are ranked, so that no value's keys are one task's work.
+    """
+    sums = counts.groupBy("bucket", "column", "value", "key").agg(F.sum("n").alias("c"))
+    runs = sums.groupBy("bucket", "column", "value", "c").agg(F.count("*").alias("m"))
+    last = F.sum("m").over(Window.partitionBy("bucket", "column", "value").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # the degree at rank r is the largest degree of any value whose runs reach r
+    reach = runs.withColumn("r", last).groupBy("bucket", "column", "r").agg(F.max("c").alias("c"))
+    back = Window.partitionBy("bucket", "column").orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = reach.select("bucket", "column", "r", F.max("c").over(back).alias("d"))
+    before = F.lag("r", 1, 0).over(Window.partitionBy("bucket", "column").orderBy("r"))
+    return ends.withColumn("n", F.col("r") - before).groupBy("bucket", "column", "d").agg(F.sum("n").alias("n"))
 
 
 def step_functions(runs: DataFrame, options: Options, error: float | None = None) -> dict[str, Functions]:
@@ -305,59 +365,85 @@ def _grouped(functions: list[Functions], options: Options) -> tuple[list[int], l
     return labels, made
 
 
-def filter_statistics(rows: DataFrame, join_columns: tuple[str, ...], column: str, options: Options) -> FilterStats:
-    kind = rows.schema[column].dataType.simpleString()
-    counts = pair_counts(rows, join_columns, column).persist()
+def _top(counts: DataFrame, most: int, columns: int) -> list[list[str]]:
+    """counts: i, v, n. For each filter column its `most` values of greatest n; ties by value."""
+    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "v"))
+    found: list[list[str]] = [[] for _ in range(columns)]
+    for r in counts.withColumn("r", rank).where(F.col("r") <= most).orderBy("i", "r").collect():
+        found[r["i"]].append(r["v"])
+    return found
+
+
+def filter_statistics(rows: DataFrame, join_columns: tuple[str, ...], filters: tuple[str, ...], options: Options) -> list[FilterStats]:
+    """Statistics of the join columns given each of some filter columns of the same rows."""
+    kinds = [rows.schema[c].dataType.simpleString() for c in filters]
+    counts = column_counts(rows, join_columns, filters).persist()
     try:
-        common = [r["value"] for r in common_values(rows, column, options.common_values).collect()]
-        sample = rows.where(F.col(column).isNotNull()).select(column).orderBy(F.xxhash64(column, *join_columns)).limit(options.edge_sample)
-        values = sorted(r[0] for r in sample.collect() if r[0] == r[0])
+        values = counts.where((F.col("column") == ROWS) & F.col("f").isNotNull()).select("i", F.col("f").alias("v"), "n")
+        common = _top(values, options.common_values, len(filters))
+        sample = rows.select(*filters).orderBy(F.xxhash64(*dict.fromkeys((*join_columns, *filters)))).limit(options.edge_sample).select(*(as_text(rows, c).alias(f"f{i}") for i, c in enumerate(filters))).collect()
         bins = 2 ** max(0, math.ceil(math.log2(max(1, options.buckets)))) - 1
-        edges = sorted({values[len(values) * i // (bins + 1)] for i in range(1, bins + 1)}) if values else []
-        top = None
-        if kind == "string" and options.track_grams:
-            each = rows.select(F.explode(grams(F.col(column))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-            top = [r["g"] for r in each.orderBy(F.desc("n"), "g").limit(options.common_grams).collect()]
-        found = step_functions(conditioned_runs(counts, kind, common, edges, top, options), options)
+        edges: list[list] = []
+        for i, kind in enumerate(kinds):
+            own = sorted(v for v in (parsed(r[i], kind) for r in sample) if v is not None and v == v)
+            edges.append(sorted({own[len(own) * j // (bins + 1)] for j in range(1, bins + 1)}) if own and kind != "boolean" else [])
+        top: list[list[str]] = [[] for _ in filters]
+        texts = [i for i, kind in enumerate(kinds) if kind == "string"]
+        if options.track_grams and texts:
+            each = values.where(F.col("i").isin(*texts)).select("i", F.explode(grams(F.col("v"))).alias("v"), "n").groupBy("i", "v").agg(F.sum("n").alias("n"))
+            top = _top(each, options.common_grams, len(filters))
+        found = step_functions(conditioned_runs(counts, kinds, common, edges, top, options), options)
     finally:
         counts.unpersist()
-    out = FilterStats(kind, found.get("not null", {}), found.get("null", {}) if options.track_nulls else None)
-    for name, fs in found.items():
-        if name.startswith("interval "):
-            out.intervals.append(Interval(*interval_ends(name[9:], edges), fs))
-    labels, out.groups = _grouped([found[f"value {i}"] for i in range(len(common))], options)
-    out.common = dict(zip(common, labels, strict=True))
-    out.rest = found.get("rest", {})
-    if top is not None:
-        labels, out.gram_groups = _grouped([found[f"gram {i}"] for i in range(len(top))], options)
-        out.common_grams = dict(zip(top, labels, strict=True))
-        out.gram_rest = found.get("gram rest", {})
-    return out
+    made = []
+    for i, kind in enumerate(kinds):
+        own = {name.split(" ", 1)[1]: fs for name, fs in found.items() if name.split(" ", 1)[0] == str(i)}
+        out = FilterStats(kind, own.get("not null", {}), own.get("null", {}) if options.track_nulls else None)
+        for name, fs in own.items():
+            if name.startswith("interval "):
+                out.intervals.append(Interval(*interval_ends(name[9:], edges[i]), fs))
+        labels, out.groups = _grouped([own[f"value {k}"] for k in range(len(common[i]))], options)
+        out.common = dict(zip((parsed(v, kind) for v in common[i]), labels, strict=True))
+        out.rest = own.get("rest", {})
+        if i in texts and options.track_grams:
+            labels, out.gram_groups = _grouped([own[f"gram {k}"] for k in range(len(top[i]))], options)
+            out.common_grams = dict(zip(top[i], labels, strict=True))
+            out.gram_rest = own.get("gram rest", {})
+        made.append(out)
+    return made
 
 
 def build(tables: Mapping[str, DataFrame], schema: Schema, options: Options = Options(), only: set[str] | None = None) -> Statistics:  # noqa: B008
     """Statistics of the tables that schema declares (of `only` some of them); filters reach one foreign key far."""
     made, todo = {}, []
+
+    def full(name: str) -> None:
+        spec = schema.tables[name]
+        every = pair_counts(tables[name].select(*spec.join_columns), spec.join_columns, None).select(F.lit("full").alias("bucket"), "column", "key", "n")
+        found = step_functions(bucket_runs(every), options, options.error / 4).get("full", {})
+        made[name].full.update({c: found.get(c, ZERO) for c in (*spec.join_columns, ROWS)})
+
+    def conditioned(task) -> None:
+        stats, names, rows, join_columns, filters = task
+        for key, found in zip(names, filter_statistics(rows, join_columns, filters, options), strict=True):
+            stats.filters[key] = found
+
     for name, spec in schema.tables.items():
         if only is not None and name not in only:
             continue
-        df = tables[name]
-        pruned = df.select(*dict.fromkeys((*spec.join_columns, *spec.filter_columns)))
-        every = pair_counts(pruned, spec.join_columns, None).select(F.lit("full").alias("bucket"), "column", "key", "n")
-        full = step_functions(bucket_runs(every), options, options.error / 4).get("full", {})
-        stats = TableStats({c: full.get(c, ZERO) for c in (*spec.join_columns, ROWS)})
-        for c in spec.filter_columns:
-            todo.append((stats, (c,), pruned.select(*dict.fromkeys((*spec.join_columns, c))), spec.join_columns, c))
+        made[name] = stats = TableStats({})
+        if spec.filter_columns:
+            todo.append((stats, [(c,) for c in spec.filter_columns], tables[name].select(*dict.fromkeys((*spec.join_columns, *spec.filter_columns))), spec.join_columns, tuple(spec.filter_columns)))
         for fk in schema.keys_from(name):
-            if fk.key_table not in tables:
-                continue
-            for c in schema.tables[fk.key_table].filter_columns:
-                joined = foreign_key_join(pruned.select(*spec.join_columns), fk.column, tables[fk.key_table], fk.key_column, [F.col(c).alias(f"_f_{c}")])
-                todo.append((stats, (fk.column, fk.key_table, c), joined, spec.join_columns, f"_f_{c}"))
-        made[name] = stats
-    with ThreadPoolExecutor(options.jobs) as pool:  # jobs of several columns share the executors
-        for (stats, key, *_), found in zip(todo, pool.map(lambda t: filter_statistics(*t[2:], options), todo), strict=True):
-            stats.filters[key] = found
+            reached = schema.tables[fk.key_table].filter_columns if fk.key_table in tables else ()
+            if reached:
+                joined = foreign_key_join(tables[name].select(*spec.join_columns), fk.column, tables[fk.key_table], fk.key_column, [F.col(c).alias(f"reached_{c}") for c in reached])
+                todo.append((stats, [(fk.column, fk.key_table, c) for c in reached], joined, spec.join_columns, tuple(f"reached_{c}" for c in reached)))
+    with ThreadPoolExecutor(options.jobs) as pool:  # jobs of several tables share the executors
+        for x in [*(pool.submit(conditioned, t) for t in todo), *(pool.submit(full, name) for name in made)]:
+            x.result()
+    for stats in made.values():  # in the order of the schema, whichever was done first
+        stats.filters = {k: stats.filters[k] for _, names, *_ in [t for t in todo if t[0] is stats] for k in names}
     return Statistics(schema, made, options)
 
 

@@ -8,11 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.step import compress
 from .functions.text import epoch_offset, grams
 from .model import STAR, ForeignKey, Schema, TableSpec
 from .operators import aggregates, bayes, estimators, exact, prepare, statistics
-from .operators.spn import SumProductNetwork
 from .plans import bound, planner
 from .plans.parser import parse_aggregate, parse_one
 from .plans.query import Query
@@ -241,19 +239,6 @@ query("fk_filtered_degree_rle", "SELECT c_mktsegment AS value, d, count(*)::BIGI
 )
 
 
-@query("step_functions")
-def step_functions(spark: SparkSession, d: str) -> DataFrame:
-    """Segments, rows and self-join sizes of compressed degree functions, by strategy and mode."""
-    rows = []
-    for t, c in (("lineitem", "l_partkey"), ("orders", "o_custkey"), ("events", "user_id")):
-        runs = exact.degree_runs(tables(spark, d)[t], c).collect()
-        for strategy in ("relative", "exponential", "linear", "equidepth"):
-            for mode in ("cdf", "pdf"):
-                f = compress([r["d"] for r in runs], [r["n"] for r in runs], 0.01, strategy, mode, 20)
-                rows.append((t, c, strategy, mode, len(f.edges), f.total, f.self_join()))
-    return _frame(spark, rows, "table string, column string, strategy string, mode string, segments int, rows double, self_join double")
-
-
 # --- bounds from statistics
 
 SMALL = statistics.Options(buckets=16, common_values=100, groups=16, common_grams=100)
@@ -312,15 +297,6 @@ def _scanned(spark: SparkSession, d: str) -> DataFrame:
     return bounds(spark, d, JOINS, lambda q: bound.scanned_bound(tables(spark, d), q, cache))
 
 
-@query("q_error_summary")
-def q_error_summary(spark: SparkSession, d: str) -> DataFrame:
-    """How far bounds from statistics, and from scans, are above the truth."""
-    few = {k: JOINS[k] for k in ("two_tables", "chain", "star", "key_filter", "disjunction")}
-    made = bounds(spark, d, few, lambda q: bound.bound(core_statistics(spark, d), q)).select(F.lit("statistics").alias("method"), F.col("bound").alias("estimate"), "truth")
-    scans = bounds(spark, d, few, lambda q: bound.scanned_bound(tables(spark, d), q)).select(F.lit("scan").alias("method"), F.col("bound").alias("estimate"), "truth")
-    return estimators.q_errors(made.union(scans))
-
-
 query("q_error_quantiles", "SELECT 'avg' AS method, round(quantile_cont(q, 0.05), 6) AS q05, round(quantile_cont(q, 0.5), 6) AS q50, round(quantile_cont(q, 0.95), 6) AS q95 FROM (SELECT greatest(e / t, t / e) AS q FROM (SELECT count(*)::DOUBLE AS t, 10.0::DOUBLE AS e FROM orders GROUP BY o_custkey))")(
     lambda spark, d: estimators.q_errors(exact.degrees(tables(spark, d)["orders"], "o_custkey").select(F.lit("avg").alias("method"), F.lit(10.0).alias("estimate"), F.col("d").alias("truth")))
 )
@@ -333,7 +309,7 @@ query("contingency", "SELECT o_orderstatus, o_orderpriority, count(*)::BIGINT AS
 query("conditional_table", "SELECT o_orderstatus, o_orderpriority, round(n / sum(n) OVER (PARTITION BY o_orderpriority), 9) AS p FROM (SELECT o_orderstatus, o_orderpriority, count(*)::DOUBLE AS n FROM orders GROUP BY ALL)")(
     lambda spark, d: bayes.conditional_table(tables(spark, d)["orders"], "o_orderstatus", "o_orderpriority").withColumn("p", F.round("p", 9))
 )
-query("conditional_table_prior", "SELECT o_orderstatus, o_orderpriority, round(n / sum(n) OVER (PARTITION BY o_orderpriority), 9) AS p FROM (SELECT o_orderstatus, o_orderpriority, count(*)::DOUBLE + 1 AS n FROM orders GROUP BY ALL)")(
+query("conditional_table_prior", "SELECT o_orderstatus, o_orderpriority, round(n / sum(n) OVER (PARTITION BY o_orderpriority), 9) AS p FROM (SELECT s.o_orderstatus, p.o_orderpriority, count(o_orderkey)::DOUBLE + 1 AS n FROM (SELECT DISTINCT o_orderstatus FROM orders) s CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) p LEFT JOIN orders o ON o.o_orderstatus = s.o_orderstatus AND o.o_orderpriority = p.o_orderpriority GROUP BY ALL)")(
     lambda spark, d: bayes.conditional_table(tables(spark, d)["orders"], "o_orderstatus", "o_orderpriority", 1.0).withColumn("p", F.round("p", 9))
 )
 query(
@@ -345,31 +321,6 @@ query("covariance", "SELECT round(covar_samp(l_quantity, l_extendedprice), 4) AS
 )
 
 
-@query("network_estimates")
-def network_estimates(spark: SparkSession, d: str) -> DataFrame:
-    """Tree network, independence, sampled, progressive and exact sizes of some single-table queries."""
-    t = tables(spark, d)["orders"]
-    net = bayes.Network.fit(t, ["o_orderstatus", "o_orderpriority", "o_totalprice"])
-    rows = []
-    for sql in ("SELECT * FROM orders AS o WHERE o.o_orderstatus = 'F'", "SELECT * FROM orders AS o WHERE o.o_orderpriority IN ('1-URGENT', '2-HIGH') AND o.o_totalprice < 100000", "SELECT * FROM orders AS o WHERE o.o_totalprice BETWEEN 50000 AND 150000 AND o.o_orderstatus != 'P'"):
-        q = parse_one(sql)
-        rows.append((sql, exact.count({"orders": t}, q), net.cardinality(q.predicates), net.independent(q.predicates), net.rows * net.sampled_probability(q.predicates), net.rows * net.progressive_probability(q.predicates)))
-    return _frame(spark, rows, "query string, truth long, tree double, independent double, sampled double, progressive double")
-
-
-@query("spn_estimates")
-def spn_estimates(spark: SparkSession, d: str) -> DataFrame:
-    """Counts, sums and averages from a sum-product network, beside the exact ones."""
-    t = tables(spark, d)["lineitem"]
-    net = SumProductNetwork.fit(t, ["l_quantity", "l_discount", "l_returnflag"])
-    rows = []
-    for flag in net.groups("l_returnflag"):
-        p = parse_one(f"SELECT * FROM lineitem AS l WHERE l.l_returnflag = '{flag}' AND l.l_quantity < 20").predicates
-        e = t.where((F.col("l_returnflag") == flag) & (F.col("l_quantity") < 20)).agg(F.count("*"), F.sum("l_discount"), F.avg("l_discount")).first()
-        rows.append((flag, net.count(p), float(e[0]), net.sum("l_discount", p), e[1], net.average("l_discount", p), e[2], net.deviation_of_average("l_discount", p)))
-    return _frame(spark, rows, "flag string, count double, true_count double, sum double, true_sum double, average double, true_average double, deviation double")
-
-
 query("dependency", "SELECT DISTINCT n_nationkey, n_regionkey FROM nation WHERE n_nationkey IS NOT NULL")(lambda spark, d: prepare.dependency(tables(spark, d)["nation"], "n_nationkey", "n_regionkey"))
 query("categorical_codes", "SELECT p_type AS value, (row_number() OVER (ORDER BY n DESC, p_type) - 1)::BIGINT AS code FROM (SELECT p_type, count(*) AS n FROM part GROUP BY p_type)")(
     lambda spark, d: prepare.categorical_codes(tables(spark, d)["part"], "p_type")
@@ -398,7 +349,6 @@ def _aggregate_sql(sql: str) -> str:
 
 for _n, _q in AGGREGATES.items():
     query(f"aqp_exact_{_n}", _aggregate_sql(_q))(lambda spark, d, q=_q: aggregates.evaluate(tables(spark, d), parse_aggregate(q)).withColumn("value", F.round("value", 2)))
-query("aqp_sampled")(lambda spark, d: aggregates.approximate(tables(spark, d), parse_aggregate(AGGREGATES["sum"]), "l", "l_orderkey", 0.2))
 query("what_if_count", "SELECT o_orderstatus, round(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.2 ELSE 1.0 END)::DOUBLE, 4) AS value FROM orders GROUP BY o_orderstatus")(
     lambda spark, d: aggregates.evaluate(tables(spark, d), parse_aggregate("SELECT o.o_orderstatus, COUNT(*) FROM orders AS o GROUP BY o.o_orderstatus WHAT IF o.o_orderpriority = '1-URGENT' INCREASE BY 20%")).withColumn("value", F.round("value", 4))
 )
@@ -429,10 +379,6 @@ def _top(customers: DataFrame) -> DataFrame:
     return customers.withColumn("r", F.row_number().over(w)).where("r <= 3").select("c_nationkey", "c_custkey")
 
 
-query("correlated_sample")(lambda spark, d: estimators.correlated_samples(tables(spark, d), parse_one(JOINS["chain"]), "c", "c_custkey", 0.1)["o"])
-query("join_sample")(lambda spark, d: estimators.join_sample(tables(spark, d), parse_one(JOINS["chain"]), "c", "c_custkey", 0.1, 100, [("c", "c_custkey"), ("o", "o_orderkey"), ("s", "s_suppkey")])[0])
-
-
 @query("incremental_degree_rle", "SELECT d, count(*)::BIGINT AS n FROM (SELECT count(*)::BIGINT AS d FROM events WHERE user_id IS NOT NULL GROUP BY user_id) GROUP BY d")
 def incremental_degree_rle(spark: SparkSession, d: str) -> DataFrame:
     """Degree runs kept by a stream over the events table."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 
@@ -93,22 +94,53 @@ def read_renamed_csv(spark: SparkSession, path: str, prefix: str, drop: Sequence
     return df.withColumnsRenamed({c: f"{prefix}.{c}" for c in df.columns})
 
 
+#: How column types of SQL are named here.
+TYPES = {"integer": "int", "int": "int", "serial": "int", "bigint": "bigint", "smallint": "smallint", "text": "string", "character varying": "string", "varchar": "string", "character": "string", "char": "string", "double precision": "double", "real": "float", "numeric": "double", "decimal": "double", "date": "date", "timestamp": "timestamp", "timestamp without time zone": "timestamp", "boolean": "boolean"}
+
+
+def read_ddl(text: str) -> dict[str, str]:
+    """The schema of each table that CREATE TABLE statements declare; constraints and defaults are left out."""
+    out = {}
+    for name, body in re.findall(r"create\s+table\s+(?:if\s+not\s+exists\s+)?\"?(\w+)\"?\s*\((.*?)\)\s*;", text, re.IGNORECASE | re.DOTALL):
+        columns = []
+        for part in re.split(r",(?![^()]*\))", body):
+            m = re.match(r"\s*\"?(\w+)\"?\s+([a-z ]+?)\s*(?:\([\d, ]+\)\s*)?(?:(?:not\s+null|null|primary|unique|references|default|check)\b.*)?$", part, re.IGNORECASE | re.DOTALL)
+            if m and m[1].lower() not in ("primary", "foreign", "unique", "constraint", "check"):
+                columns.append(f"{m[1]} {TYPES[' '.join(m[2].lower().split())]}")
+        out[name] = ", ".join(columns)
+    return out
+
+
+def load_ddl(spark: SparkSession, text: str, folder: str) -> dict[str, DataFrame]:
+    """The tables that CREATE TABLE statements declare, from the files that COPY name FROM 'file' statements name within folder: CSV, with a header if the statement says HEADER, else with its DELIMITER."""
+    schemas, out = read_ddl(text), {}
+    for name, path, how in re.findall(r"(?:copy|\\copy)\s+\"?(\w+)\"?\s+from\s+'([^']+)'((?:[^;']|'[^']*')*);", text, re.IGNORECASE):
+        sep = re.search(r"delimiter\s+(?:as\s+)?'(.)'", how, re.IGNORECASE)
+        out[name] = spark.read.csv(f"{folder}/{path}", schema=schemas[name], sep=sep[1] if sep else ",", header="header" in how.lower(), quote='"', escape='"', multiLine=True)
+    return out
+
+
 def as_views(tables: Mapping[str, DataFrame]) -> None:
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
 
 
-def read_queries(path: str, columns: Mapping[str, tuple[str, ...]] | None = None) -> list[Query]:
-    return parse(Path(path).read_text(), dict(columns or {}))
+def read_text(path: str, spark: SparkSession | None = None) -> str:
+    """A small file, from any store that Spark reads if a session is given."""
+    return Path(path).read_text() if spark is None else "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def read_queries(path: str, columns: Mapping[str, tuple[str, ...]] | None = None, spark: SparkSession | None = None) -> list[Query]:
+    return parse(read_text(path, spark), dict(columns or {}))
 
 
 def split_statements(text: str) -> list[str]:
     return [s.strip() for s in text.split(";") if s.strip()]
 
 
-def read_results(path: str) -> list[int]:
+def read_results(path: str, spark: SparkSession | None = None) -> list[int]:
     """The last field, behind #, of each line."""
-    return [int(line.rsplit("#", 1)[-1]) for line in Path(path).read_text().splitlines() if line.strip()]
+    return [int(line.rsplit("#", 1)[-1]) for line in read_text(path, spark).splitlines() if line.strip()]
 
 
 def write_results(results: DataFrame, path: str) -> None:

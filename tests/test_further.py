@@ -1,4 +1,7 @@
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 from rowceil.functions import bloom
 from rowceil.model import ForeignKey
@@ -73,3 +76,15 @@ def test_largest_degrees_by_rank(spark):
     df = spark.createDataFrame([("c", k, v, n) for v, k, n in rows], "column string, key string, value string, n long")
     got = {r.d: r.n for r in statistics.rank_maximum(df, "value").collect()}
     assert got == {5: 1, 4: 1, 3: 1, 1: 1}
+
+
+def test_bloom_filters_of_more_keys_than_a_fixed_size_holds(spark, sf_dir, tmp_path):
+    from rowceil import further_queries
+
+    for name in os.listdir(sf_dir):
+        if name != "orders.parquet":
+            os.symlink(f"{sf_dir}/{name}", tmp_path / name)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").limit(1).drop("o_custkey", "o_orderpriority")
+    priority = F.when(F.col("o_custkey") % 4 == 0, "2-HIGH").otherwise("1-URGENT")
+    orders.crossJoin(spark.range(400_000).withColumnRenamed("id", "o_custkey")).withColumn("o_orderpriority", priority).write.parquet(str(tmp_path / "orders.parquet"))
+    assert further_queries.bloom_filters(spark, str(tmp_path)).first() == (300_000, 400_000, 0, True, True, True)

@@ -88,3 +88,16 @@ def test_bloom_filters_of_more_keys_than_a_fixed_size_holds(spark, sf_dir, tmp_p
     priority = F.when(F.col("o_custkey") % 4 == 0, "2-HIGH").otherwise("1-URGENT")
     orders.crossJoin(spark.range(400_000).withColumnRenamed("id", "o_custkey")).withColumn("o_orderpriority", priority).write.parquet(str(tmp_path / "orders.parquet"))
     assert further_queries.bloom_filters(spark, str(tmp_path)).first() == (300_000, 400_000, 0, True, True, True)
+
+
+def test_joins_are_counted_without_making_their_rows(spark):
+    hot = {"a": spark.range(20_000).selectExpr("0L AS a_k", "id AS a_i"), "b": spark.range(20_000).selectExpr("0L AS b_k"), "c": spark.range(20_000).selectExpr("0L AS c_k")}
+    assert exact.count(hot, parse_one("SELECT * FROM a AS x, b AS y, c AS z WHERE x.a_k = y.b_k AND y.b_k = z.c_k AND x.a_i < 10000")) == 10_000 * 20_000**2
+    ring = {"a": spark.range(3000).selectExpr("id % 100 AS a_1", "id % 7 AS a_2"), "b": spark.range(3000).selectExpr("if(id % 3 = 0, null, id % 7) AS b_1", "id % 50 AS b_2"), "c": spark.range(300).selectExpr("id % 50 AS c_1", "id % 100 AS c_2", "id AS c_3")}
+    q = parse_one("SELECT * FROM a AS x, b AS y, c AS z WHERE x.a_2 = y.b_1 AND y.b_2 = z.c_1 AND z.c_2 = x.a_1")
+    truth = exact.joined(ring, q).count()
+    assert truth > 0
+    for order in (None, "xyz", "zyx", "yzx"):
+        assert exact.count(ring, q, order) == truth
+    q = parse_one("SELECT * FROM a AS x, a AS v, b AS y, c AS z, c AS w WHERE x.a_2 = y.b_1 AND v.a_1 = x.a_1 AND z.c_1 = z.c_2 AND w.c_1 < 3 AND w.c_2 = z.c_3")
+    assert exact.count(ring, q) == exact.joined(ring, q.restricted("vxy")).count() * exact.joined(ring, q.restricted("zw")).count() > 0

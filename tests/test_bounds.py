@@ -116,3 +116,16 @@ def test_worked_example(spark):
     q = parse_one("SELECT * FROM R AS r, S AS s, T AS t WHERE r.X = s.X AND s.Y = t.Y AND t.A < 20")
     truth, b = exact.count(t, q), bound.bound(stats, q)
     assert truth <= b <= 4 * truth
+
+
+def test_buckets_that_need_no_sums_of_their_own():
+    from rowceil.operators.statistics import _same_grams, interval_ends, interval_list
+
+    for n in (1, 2, 7, 15, 20):
+        edges = list(range(10, 10 + n))
+        for name, first, last in interval_list(edges):
+            if first <= last:
+                low, high = interval_ends(name, edges)
+                assert low == (edges[first - 1] if first else None) and high == (edges[last] if last < n else None)
+    sets = {"all": frozenset("xyz"), "one": frozenset("y"), "two": frozenset("xy"), "both": frozenset("xy")}
+    assert _same_grams([["one", "two", "all", "both"]], [["x", "y", "z"]], [sets], 1) == [{"one": "value 1", "all": "not null", "both": "gram 1"}]

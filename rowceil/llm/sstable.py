@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stored
+from .common import fresh_path
 from .tokens import END_ID, encoder
 
 MAGIC = b"RCSSTAB1"
@@ -201,8 +201,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
 
     Returns a record for each shard (path, docs, ids, first), in order; a partition has one, or more by SHARD_BYTES and
     SHARD_KEYS. Null text is empty, every document ends with id 0, other columns are ignored, no rows give no shards. A
-    task writes under names of its own, and what tasks that failed or ran twice wrote is deleted. Documents are encoded
-    first, so that ids are sorted and not texts. width is the number of bytes of an id, 2 or 4; 2 holds vocabularies up
+    task writes under names of its own, and what tasks that failed or ran twice wrote is deleted. Quantiles of doc_id
+    alone tell the parts, so that documents are encoded once, on their way there, and stored nowhere between. width is the number of bytes of an id, 2 or 4; 2 holds vocabularies up
     to 65,536, and an id that does not fit is an error.
     """
 
@@ -238,8 +238,18 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
         return pa.RecordBatch.from_pydict({"name": [name], "docs": [len(w.keys)], "ids": [w.ids], "first": pa.array([first], pa.int64()), "last": pa.array([last], pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(rows.mapInArrow(encode, "doc_id long, ids binary"), "ids")
-    rows = rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10 * n)).first()[0]
+    edges = pa.array(sorted(set(edges or [])), pa.int64()).to_numpy()
+
+    def place(batches):
+        for b in encode(batches):
+            ids = b.column("doc_id")
+            at = np.where(ids.is_null(), 0, np.searchsorted(edges, ids.fill_null(0).to_numpy(), "left"))
+            yield b.append_column("part", pa.array(at.astype(np.int32)))
+
+    rows = rows.mapInArrow(place, "doc_id long, ids binary, part int")
+    rows = rows.repartitionById(len(edges) + 1, "part").drop("part").sortWithinPartitions(F.asc_nulls_first("doc_id"))
     made = rows.mapInArrow(write, "name string, docs long, ids long, first long, last long").collect()
     sweep(folder, {r["name"] for r in made})
     made.sort(key=lambda r: (r["first"] is not None, r["first"] or 0, r["last"] is not None, r["last"] or 0))

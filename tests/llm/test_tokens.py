@@ -185,3 +185,14 @@ def test_sweep_leaves_what_is_named(tmp_path):
     sstable.sweep(str(tmp_path), {"b.sst"})
     assert [p.name for p in tmp_path.iterdir()] == ["b.sst"]
     sstable.sweep(str(tmp_path / "none"), set())
+
+
+def test_shards_are_written_without_a_copy_of_the_ids(spark, tmp_path):
+    from rowceil.llm import common, sstable
+
+    docs = spark.createDataFrame([(k % 40 - 5, f"text {k}") for k in range(60)] + [(None, None)], "doc_id long, text string")
+    before = list(common.made_paths(spark))
+    shards = sstable.write_shards(docs, str(tmp_path / "shards"))
+    assert list(common.made_paths(spark)) == before
+    got = sstable.read_shards(spark, shards).orderBy("start").collect()
+    assert len(got) == 61 and got[0].doc_id is None and [r.doc_id for r in got[1:]] == sorted(r.doc_id for r in got[1:])

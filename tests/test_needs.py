@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rowceil import queries
+from rowceil import further_queries, queries
 from rowceil.model import ForeignKey, Schema, TableSpec
 from rowceil.operators import exact, statistics
 from rowceil.plans import bound, planner
@@ -33,6 +33,15 @@ def test_a_planned_join_reads_the_columns_it_names(spark, sf_dir, monkeypatch, n
     assert queries.MADE[f"planned_join_{name}"](spark, sf_dir).first()["n"] == exact.count(whole, parse_one(queries.JOINS[name]))
 
 
+def test_a_summary_of_errors_reads_the_columns_its_joins_name(spark, sf_dir, monkeypatch):
+    whole = queries.tables(spark, sf_dir)
+    read = {"lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_quantity"), "orders": ("o_orderkey", "o_custkey"), "customer": ("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"), "part": ("p_partkey", "p_brand", "p_size"), "supplier": ("s_suppkey", "s_nationkey", "s_acctbal")}
+    monkeypatch.setattr(further_queries, "tables", lambda *_: guarded(whole, read))
+    monkeypatch.setattr(queries, "tables", lambda *_: guarded(whole, read))
+    monkeypatch.setattr(queries, "_built", {})
+    assert sorted(tuple(r) for r in queries.MADE["q_error_summary"](spark, sf_dir).collect()) == [("scan", True), ("statistics", True)]
+
+
 def test_needed_statistics_are_those_of_whole_ones(spark, sf_dir):
     t = queries.tables(spark, sf_dir)
     q = parse_one("SELECT * FROM orders AS o, customer AS c, nation AS n WHERE o.o_custkey = c.c_custkey AND c.c_nationkey = n.n_nationkey AND o.o_orderkey > 0 AND (c.c_mktsegment = 'BUILDING' OR c.c_acctbal < 0) AND n.n_name LIKE '%IA%' AND o.o_orderpriority IN ('1-URGENT', '2-HIGH')")

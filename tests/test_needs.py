@@ -42,6 +42,15 @@ def test_a_summary_of_errors_reads_the_columns_its_joins_name(spark, sf_dir, mon
     assert sorted(tuple(r) for r in queries.MADE["q_error_summary"](spark, sf_dir).collect()) == [("scan", True), ("statistics", True)]
 
 
+def test_a_random_workload_reads_no_tables_but_its_own(spark, sf_dir, monkeypatch):
+    whole = queries.tables(spark, sf_dir)
+    read = {n: (*queries.CORE.tables[n].join_columns, *queries.CORE.tables[n].filter_columns) for n in ("orders", "customer", "part", "lineitem")}
+    monkeypatch.setattr(further_queries, "tables", lambda *_: guarded(whole, read))
+    monkeypatch.setattr(queries, "tables", lambda *_: guarded(whole, read))
+    monkeypatch.setattr(queries, "_built", {})
+    assert tuple(queries.MADE["random_workload"](spark, sf_dir).first()) == (12, True)
+
+
 def test_needed_statistics_are_those_of_whole_ones(spark, sf_dir):
     t = queries.tables(spark, sf_dir)
     q = parse_one("SELECT * FROM orders AS o, customer AS c, nation AS n WHERE o.o_custkey = c.c_custkey AND c.c_nationkey = n.n_nationkey AND o.o_orderkey > 0 AND (c.c_mktsegment = 'BUILDING' OR c.c_acctbal < 0) AND n.n_name LIKE '%IA%' AND o.o_orderpriority IN ('1-URGENT', '2-HIGH')")

@@ -68,7 +68,7 @@ def test_what_single_values_need_is_not_taken_from_ranges():
     assert singles.covers(ranges) and not ranges.covers(singles) and not singles.covers(statistics.Need(frozenset("k"), frozenset({("x",)})))
 
 
-@pytest.mark.parametrize("name", ["disjunction"])
+@pytest.mark.parametrize("name", ["disjunction", "snowflake"])
 def test_planned_joins_need_no_dealt_rows(spark, sf_dir, monkeypatch, name):
     """All that these plans look up is in few cells."""
     monkeypatch.setattr(queries, "_built", {})
@@ -80,3 +80,23 @@ def test_planned_joins_need_no_dealt_rows(spark, sf_dir, monkeypatch, name):
     q, t = parse_one(queries.JOINS[name]), queries.tables(spark, sf_dir)
     n = exact.count(t, q)
     assert queries.MADE[f"planned_join_{name}"](spark, sf_dir).first()["n"] == n <= bound.bound(queries.core_statistics(spark, sf_dir, [q]), q) * (1 + 1e-9)
+
+
+@pytest.mark.parametrize("twice", (False, True))
+def test_cells_given_several_columns_and_unique_keys(spark, monkeypatch, twice):
+    facts = [(None if i % 13 == 0 else i * i % 17, i % 5) for i in range(400)]
+    keys = [(k, "abc"[k % 3] if k % 5 else None) for k in range(12)] + [(2, "a")] * twice
+    schema = Schema.of([TableSpec("d", ("id",), ("v",)), TableSpec("f", ("k", "m"))], [ForeignKey("f", "k", "d", "id")])
+    t = {"f": spark.createDataFrame(facts, "k long, m long"), "d": spark.createDataFrame(keys, "id long, v string")}
+    key, seen, reached = ("k", "d", "v"), [], statistics.cells.reached_keys
+    monkeypatch.setattr(statistics.cells, "reached_keys", lambda *a: seen.append(a[-1]) or reached(*a))
+    need = {"d": statistics.Need(frozenset(("id",)), frozenset(), frozenset()), "f": statistics.Need(frozenset(("k", "m")), frozenset({key}), frozenset({(key, statistics.EQUAL)}))}
+    made = statistics.build(t, schema, CLOSE, needs=need).tables["f"]
+    assert seen == [not twice]
+    assert same(made.full["k"], [k for k, _ in facts if k is not None]) and same(made.full["m"], [m for _, m in facts])
+    joined = [(k, m, v) for k, m in facts for i, v in keys if k == i]
+    for v in "abc":
+        own = [(k, m) for k, m, w in joined if w == v]
+        f = made.filters[key].equal(v)
+        assert same(f["k"], [k for k, _ in own]) and same(f["m"], [m for _, m in own]) and f[statistics.ROWS].total == len(own)
+    assert same(made.filters[key].null["m"], [m for _, m, w in joined if w is None])
